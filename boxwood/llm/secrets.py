@@ -179,7 +179,7 @@ WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FRO
 base AS ({" UNION ALL ".join(base)}),
 cand AS ({" UNION ALL ".join(classes)}),
 w AS (SELECT k, o, kind, s, lim, a, list_aggregate(list_transform(range(a + 1, a + {WINDOW + 1}), lambda i: m[i]), 'histogram') AS h FROM (SELECT *, unnest(range(0, len(m) - {WINDOW - 1})) AS a FROM cand)),
-hot AS (SELECT k, o, kind, s, a FROM w WHERE list_sum(list_transform(map_values(h), lambda c: {table}[c])) <= lim),
+hot AS (SELECT k, o, kind, s, a FROM w WHERE list_sum(list_transform(map_values(h), lambda c: {table}[c::BIGINT])) <= lim),
 isl AS (SELECT *, sum(CASE WHEN a <= prev + {WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY k, o, s ORDER BY a) AS grp FROM (SELECT *, lag(a) OVER (PARTITION BY k, o, s ORDER BY a) AS prev FROM hot)),
 ent AS (SELECT k, o, kind, s + min(a) AS s, s + max(a) + {WINDOW} AS e FROM isl GROUP BY k, o, kind, s, grp),
 spans AS (SELECT k, o, kind, s, e FROM base UNION ALL SELECT k, o, kind, s, e FROM ent x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.k = x.k AND b.s < x.e AND x.s < b.e)),
