@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwood.llm import decontaminate, secrets
+from boxwood.llm import decontaminate, lm, minhash, secrets, substring, suffixes
 from boxwood.llm.common import table
 
 
@@ -18,9 +18,25 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_lm_score, op4_suffix_dedup, op5_substring_dedup, op6_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.SQL, "op2_decontaminate": decontaminate.SQL}
+    return {"op1_secret_scan": secrets.SQL, "op2_decontaminate": decontaminate.SQL, "op5_substring_dedup": substring.SQL}
