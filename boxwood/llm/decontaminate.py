@@ -25,21 +25,21 @@ from pyspark.sql import functions as F
 
 from boxwood.llm.common import lower_ascii, row_key, stash
 
-#: As ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of lower-cased text, but on the text as it is.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of lower-cased text.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: A word that no text holds; one posting of it closes each document.
+CLOSE = "\x00"
 
 #: Broadcast a benchmark-side table up to this many rows (each row is a term or
 #: a window of at most ``window`` words); beyond it Catalyst shuffles both sides.
 BROADCAST_ROWS = 500_000
 
 
-def raw_words(col: Column) -> Column:
-    """Words in their original case."""
-    return F.coalesce(F.regexp_extract_all(col, F.lit(RAW_WORD), F.lit(0)), F.array().cast("array<string>"))
-
-
-def lowered(words: Column) -> Column:
-    return F.transform(words, lower_ascii)
+def words(col: Column) -> Column:
+    """Lower-cased words. Splitting lower-cased text makes one string per word
+    and stays in generated code."""
+    return F.array_remove(F.split(lower_ascii(F.coalesce(col, F.lit(""))), BETWEEN), "")
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -48,30 +48,19 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 
 def windows_of(items: DataFrame, window: int = 8) -> DataFrame:
     """``(item_id, win)``: every window of every item, once per item."""
-    w = items.select("item_id", lowered(raw_words(F.col("text"))).alias("w")).filter((F.size("w") > 0) & F.col("item_id").isNotNull())
+    w = items.select("item_id", words(F.col("text")).alias("w")).filter((F.size("w") > 0) & F.col("item_id").isNotNull())
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
     return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, window))).alias("win")).distinct()
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, terms_rows: int | None = None) -> DataFrame:
-    """The positional index in long form: ``(k, doc_id, term, pos)``, positions
-    from 1. ``terms`` (a column ``term``, distinct) restricts it; the filter sits
-    in the scan's own stage when the terms are few enough to be broadcast."""
-    p = docs.select(row_key().alias("k"), "doc_id", F.posexplode(raw_words(F.col("text"))).alias("pos", "raw"))
-    p = p.select("k", "doc_id", lower_ascii(F.col("raw")).alias("term"), (F.col("pos") + 1).alias("pos"))
-    return p if terms is None else p.join(_sized(terms, terms_rows if terms_rows is not None else terms.count()), "term")
-
-
 def build_index(docs: DataFrame, buckets: int = 64) -> DataFrame:
-    """The index as a table ``(term, salt, doc_id, positions)``, ready to be
-    written partitioned. ``salt`` spreads the documents of a frequent term over
-    ``buckets`` rows' worth of tasks: a posting list is per document, so no row
-    grows with the corpus."""
-    p = docs.select("doc_id", row_key().alias("k"), F.posexplode(raw_words(F.col("text"))).alias("pos", "raw"))
-    p = p.select("doc_id", "k", lower_ascii(F.col("raw")).alias("term"), (F.col("pos") + 1).alias("pos"))
+    """The whole index as a table ``(term, salt, doc_id, positions)``, positions
+    from 1, ready to be written partitioned. ``salt`` spreads the documents of a
+    frequent term; a posting list is per document, so no row grows with the corpus."""
+    p = docs.select("doc_id", row_key().alias("k"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
     return (
         p.groupBy("term", F.pmod("k", F.lit(buckets)).cast("int").alias("salt"), "k", "doc_id")
-        .agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+        .agg(F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))
         .select("term", "salt", "doc_id", "positions")
     )
 
@@ -79,7 +68,7 @@ def build_index(docs: DataFrame, buckets: int = 64) -> DataFrame:
 def document_frequency(docs: DataFrame, vocab: DataFrame, vocab_rows: int) -> DataFrame:
     """Occurrences in ``docs`` of each term of ``vocab``: partial counts are
     combined before the shuffle, so a frequent term is one row per task."""
-    t = docs.select(F.explode_outer(raw_words(F.col("text"))).alias("raw")).select(lower_ascii(F.col("raw")).alias("term"))
+    t = docs.select(F.explode_outer(words(F.col("text"))).alias("term"))
     return t.join(_sized(vocab, vocab_rows), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -94,29 +83,36 @@ def anchored_windows(docs: DataFrame, wins: DataFrame) -> DataFrame:
     return ranked.filter(F.col("known") == F.size("win")).select("wid", "win", "rarest.off", "rarest.term")
 
 
-def phrase_matches(docs: DataFrame, anchors: DataFrame, slop: int = 0) -> DataFrame:
+def phrase_matches(docs: DataFrame, anchors: DataFrame, slop: int = 0, close: bool = False) -> DataFrame:
     """``(k, doc_id, wid, start, n)``: where windows occur.
 
     Candidates are the anchor term's postings less its offset; the remaining
     terms are intersected at their offset-adjusted positions. With ``slop`` > 0,
     proximity matches are returned instead: all terms of the window within
     ``slop`` extra words around the anchor, in any order (``start`` is then where
-    the stretch begins).
+    the stretch begins). ``close`` adds a row for each document with ``wid`` null
+    and its number of words as ``start``.
     """
     near = anchors.select("wid", "win", "off", "term", F.array_join("win", " ").alias("phrase"), F.size("win").alias("n"))
-    p = docs.select(row_key().alias("k"), "doc_id", raw_words(F.col("text")).alias("w"))
+    rows = anchors.count()
+    w = words(F.col("text"))
+    if close:
+        row = docs.sparkSession.createDataFrame([(None, [CLOSE], 0, CLOSE, CLOSE, 1)], near.schema)
+        near, w = near.union(row), F.array_append(w, CLOSE)
+    p = docs.select(row_key().alias("k"), "doc_id", w.alias("w"))
     # No lambda up to the join: the scan, the explode, the probe and the comparison
     # then share one generated loop, and "w" is a reference rather than a copy per word.
-    p = p.select("k", "doc_id", "w", F.posexplode_outer("w").alias("pos", "raw")).withColumn("term", lower_ascii(F.col("raw")))
+    p = p.select("k", "doc_id", "w", F.posexplode_outer("w").alias("pos", "term"))
     start, n = F.col("pos") - F.col("off") + 1, F.col("n")
-    c = p.join(_sized(near, anchors.count()), "term")
+    c = p.join(_sized(near, rows), "term")
     if slop:
         a = F.greatest(start - slop, F.lit(1))
-        seen = F.split(lower_ascii(F.array_join(F.slice("w", a, n + 2 * slop), " ")), " ")
-        return c.filter(F.size(F.array_except("win", seen)) == 0).select("k", "doc_id", "wid", a.alias("start"), "n").distinct()
+        near_by = F.size(F.array_except("win", F.slice("w", a, n + 2 * slop))) == 0
+        return c.filter(near_by).select("k", "doc_id", "wid", a.alias("start"), "n").distinct()
     c = c.filter((start >= 1) & (start + n - 1 <= F.size("w")))
-    c = c.filter(lower_ascii(F.array_join(F.slice("w", F.greatest(start, F.lit(1)), n), " ")) == F.col("phrase"))
-    return c.select("k", "doc_id", "wid", start.alias("start"), "n").distinct()
+    c = c.filter(F.array_join(F.slice("w", F.greatest(start, F.lit(1)), n), " ") == F.col("phrase"))
+    found = c.select("k", "doc_id", "wid", F.when(F.col("wid").isNull(), F.col("pos")).otherwise(start).alias("start"), "n")
+    return found if close else found.distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2) -> DataFrame:
@@ -125,7 +121,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
     docs = docs.select("doc_id", "text")
     wins = windows_of(benchmark.select("item_id", "text"), window)
     anchors = stash(anchored_windows(docs, wins), "anchors")
-    hits = phrase_matches(docs, anchors)
+    found = stash(phrase_matches(docs, anchors, close=True), "matches")
+    hits = found.filter(F.col("wid").isNotNull()).distinct()
     covered = (
         hits.select("k", "doc_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at"))
         .distinct()
@@ -138,10 +135,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
         .groupBy("k", "doc_id")
         .agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
-    found = covered.join(items, (covered.k == items.k) & covered.doc_id.eqNullSafe(items.doc_id)).select(covered.k.alias("fk"), covered.doc_id.alias("fid"), "n_hit", "items")
-    base = docs.select(row_key().alias("k"), "doc_id", F.size(raw_words(F.col("text"))).cast("long").alias("n_words"))
+    got = covered.join(items, (covered.k == items.k) & covered.doc_id.eqNullSafe(items.doc_id)).select(covered.k.alias("fk"), covered.doc_id.alias("fid"), "n_hit", "items")
+    base = found.filter(F.col("wid").isNull()).select("k", "doc_id", F.col("start").cast("long").alias("n_words"))
     n_items = F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long")
-    return base.join(found, (base.k == found.fk) & base.doc_id.eqNullSafe(found.fid), "left").select(
+    return base.join(got, (base.k == got.fk) & base.doc_id.eqNullSafe(got.fid), "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
