@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwood.llm import ann, bpe, decontaminate, lm, minhash, secrets, substring, suffixes, toxicity
+from boxwood.llm import ann, bpe, decontaminate, html, lm, minhash, secrets, substring, suffixes, toxicity
 from boxwood.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.main_text(pages, html.train(pages))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -49,7 +54,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_lm_score, op4_suffix_dedup, op5_substring_dedup, op6_near_dedup, op7_bpe_round_trip, op9_toxicity, op10_nearest)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_lm_score, op4_suffix_dedup, op5_substring_dedup, op6_near_dedup, op7_bpe_round_trip, op8_main_text, op9_toxicity, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
