@@ -144,3 +144,17 @@ def digest(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col
     src = _source(docs, id_col, text_col)
     fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     return _map(src, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", fields, make)
+
+
+def round_trip(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, same``: the ids, and whether their decoded bytes
+    are the text's."""
+
+    def make(col: pa.Array) -> list[pa.Array]:
+        c = coder(ranks)
+        ids = [c.encode(t.as_py()) for t in col]
+        same = [c.decode(i) == t.as_py().encode() for i, t in zip(ids, col, strict=True)]
+        return [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+
+    src = _source(docs, id_col, text_col)
+    return _map(src, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, same boolean", ["doc_id", "n_tokens", "ids", "same"], make)

@@ -148,6 +148,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2) -> DataFrame:
+    """``docs`` (``doc_id``, ``text`` and any other columns) without contaminated
+    rows. What is joined back is one small row per contaminated text."""
+    source = docs.select("doc_id", "text")
+    wins = windows_of(benchmark.select("item_id", "text"), window)
+    anchors = stash(anchored_windows(source, wins), "anchors")
+    hits = stash(phrase_matches(source, anchors).select("k", "doc_id", "wid").distinct(), "matches")
+    owners = wins.select(F.xxhash64("win").alias("wid"), "item_id")
+    items = hits.join(owners, "wid").select("k", "doc_id", "item_id").distinct().groupBy("k", "doc_id").agg(F.count(F.lit(1)).alias("items"))
+    bad = items.filter(F.col("items") >= min_items).select(F.col("k").alias("_k"), F.col("doc_id").alias("_id"))
+    own = docs.withColumn("_own", row_key())
+    return own.join(bad, (F.col("_own") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+
+
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwood.llm import blocks as B
-from boxwood.llm.common import stash
+from boxwood.llm.common import row_key, stash
 from boxwood.llm.components import connected
 
-ROWS, TABLES, GRID = 3, 10, 400
-_SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, (2 * TABLES * ROWS, 2), dtype=np.uint64) * B.U64(2) + B.U64(1)
+ROWS, TABLES, GRID, MOST_TABLES = 3, 10, 400, 16
+_SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, (2 * MOST_TABLES * ROWS, 2), dtype=np.uint64) * B.U64(2) + B.U64(1)
 CHUNK_BYTES = 4 << 20
 
 
@@ -82,29 +82,31 @@ def _chunks(batch: pa.RecordBatch):
         i = j
 
 
-def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, cls, n, a, b``: class, set size, and the two collections."""
+def signatures(docs: DataFrame, words: int, tables: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, k, cls, n, a, b``: row key, class, set size, the two collections."""
 
     def run(batches):
         for batch in batches:
+            at0 = 0
             for ids, lengths, data in _chunks(batch):
                 values, at = shingle_sets(lengths, data, words)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
-                cls, sigs = np.zeros(len(n), np.int64), np.zeros((len(n), 2 * TABLES), np.int64)
+                cls, sigs = np.zeros(len(n), np.int64), np.zeros((len(n), 2 * tables), np.int64)
                 if len(some):
                     begin = at[:-1][some]
                     cls[some] = _class_of(values, begin)
-                    for t in range(2 * TABLES):
+                    for t in range(2 * tables):
                         v = np.full(len(some), B.U64(t + 1))
                         for r in range(ROWS):
                             a, b = _SEEDS[t * ROWS + r]
                             v = B.mix(v * B.U64(0x9E3779B97F4A7C15) + np.minimum.reduceat((values ^ b) * a, begin))
                         sigs[some, t] = v.view(np.int64)
-                half = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), TABLES).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(cls, mask=n == 0), pa.array(n.astype(np.int64)), half(np.ascontiguousarray(sigs[:, :TABLES])), half(np.ascontiguousarray(sigs[:, TABLES:]))], ["doc_id", "cls", "n", "a", "b"])
+                half = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), tables).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(at0, len(ids)), pa.array(cls, mask=n == 0), pa.array(n.astype(np.int64)), half(np.ascontiguousarray(sigs[:, :tables])), half(np.ascontiguousarray(sigs[:, tables:]))], ["doc_id", "k", "cls", "n", "a", "b"])
+                at0 += len(ids)
 
-    return stash(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, cls long, n long, a array<long>, b array<long>"), "signatures")
+    return stash(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), row_key(id_col, text_col)).mapInArrow(run, "doc_id long, k long, cls long, n long, a array<long>, b array<long>"), "signatures")
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -144,9 +146,10 @@ def link(names: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id, kept``."""
-    sig = signatures(docs, words, id_col, text_col)
+def grouped(docs: DataFrame, words: int, num: int, den: int, tables: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``doc_id, k, n, comp, component``: the row's key, set size, the
+    component it is in (null without words) and that component's smallest id."""
+    sig = signatures(docs, words, tables, id_col, text_col)
     classes = stash(sig.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
     clusters = stash(connected(candidate_edges(classes)), "clusters")
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GRID).cast("int").alias("parts"))
@@ -183,7 +186,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
     linked = connected(placed.groupBy("root", "i", "j").applyInArrow(confirm, "a long, b long"))
     comp = classes.select("cls", "id").join(linked, F.col("cls") == F.col("node"), "left").select("cls", "id", F.coalesce("root", "cls").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("id").alias("component"))
-    of = comp.join(least, "comp").select(F.col("cls").alias("c"), "component")
-    out = sig.select("doc_id", "n", "cls").join(of, F.col("cls") == F.col("c"), "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    of = comp.join(least, "comp").select(F.col("cls").alias("c"), "comp", "component")
+    return sig.select("doc_id", "k", "n", "cls").join(of, F.col("cls") == F.col("c"), "left").select("doc_id", "k", "n", "comp", "component")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``doc_id, n_shingles, component_id, kept``."""
+    out = grouped(docs, words, num, den, tables, id_col, text_col)
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, tables: int = 12) -> DataFrame:
+    """``docs`` (``doc_id``, ``text`` and any other columns) with one row of each
+    group: the smallest id, null last, and of rows that agree in id and text the
+    first. Rows without words are in no group and all stay."""
+    rows = grouped(docs, words, num, den, tables).filter(F.col("comp").isNotNull())
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k")).alias("m")).select(F.col("m.k").alias("_k"), F.col("m.doc_id").alias("_id"))
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs.withColumn("_own", row_key())
+    kept = own.filter(has_words).join(first, (F.col("_own") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_own", "doc_id"])
+    return kept.select(*docs.columns).union(docs.filter(~has_words))

@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     words, stems = lexicon(texts, y)
     if not words and not stems:
         return Grammar()
-    g = Grammar(words, stems)
+    g = Grammar(words | frozenset(SEEDS), stems)
     first = g.pattern()
     x = np.array([g.emissions(t, first) for t in texts])
     g.weights, g.bias = fit_weights(x, np.array(y, float))
@@ -168,3 +168,16 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.bool_()), pa.array(s, pa.float64()), pa.array([int(v >= THRESHOLD) for v in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
+    """``docs`` with all its columns, without the rows that are predicted toxic."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        first = grammar.pattern()
+        for b in batches:
+            fine = [grammar.score(grammar.emissions(t.as_py() or "", first)) < THRESHOLD for t in b.column(at)]
+            yield b.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
