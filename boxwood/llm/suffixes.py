@@ -13,6 +13,10 @@ smallest names, and only about 2 in 27 positions are such. Names that occur once
 in the corpus make all their 50-byte strings unique. Names are 64-bit fingerprints
 rather than ranks, so no pass has to number the positions of the whole corpus.
 
+A text that a document with a smaller id holds whole is gone whole (if it is long
+enough), and that other document stands for it; such copies are found first, by a
+128-bit hash a document, and their positions are not named.
+
 Defined results
     null or empty text: 0 bytes, nothing removed.
     a null ``doc_id`` comes after every id; two null ids never remove each other.
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,9 @@ from boxwood.llm import blocks as B
 #: Bits kept of a sampled name when names are counted: fewer can only let through more.
 NAME_BITS = 40
 
+#: Key ranges of whole-text hashes: one hash a document, so few are enough.
+COPY_RANGES = 16
+
 
 def _least_of(names: np.ndarray, width: int) -> np.ndarray:
     """Smallest of each ``width`` consecutive names, by doubling."""
@@ -79,12 +87,36 @@ def names_mix(names: np.ndarray) -> np.ndarray:
     return B.mix(names + B.U64(0x632BE59BD9B4E019))
 
 
+def _texts(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct texts of a block by hash (two halves), their least ids, and the
+    text that each document has."""
+    both = np.array([xxhash.xxh3_128_intdigest(block.text(i)) for i in range(len(block))], object)
+    high, low = (both >> 64).astype(B.U64), (both & ((1 << 64) - 1)).astype(B.U64)
+    order = np.lexsort((block.ids, low, high))
+    new = np.ones(len(order), bool)
+    new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    firsts = order[new]
+    return high[firsts], low[firsts], block.ids[firsts], of
+
+
+def _copies(block: B.Block, answer: dict, ranges: int) -> np.ndarray:
+    """Which documents have their whole text in one with a smaller id."""
+    high, _, least, of = _texts(block)
+    cut = B.cuts(high, COPY_RANGES)
+    parts = [B.unpack_bits(answer[ranges + i]) for i in range(COPY_RANGES) if cut[i + 1] > cut[i]]
+    before = np.concatenate(parts) if parts else np.zeros(0, bool)
+    return before[of] | (block.ids > least[of])
+
+
 def _live(block: B.Block, answer: dict, size: int, ranges: int):
     at, names, least = _positions(block, size)
     if len(at):
+        copy = _copies(block, answer, ranges)[np.searchsorted(block.offsets, at, "right") - 1]
         change = np.concatenate([[True], least[1:] != least[:-1]])
         flags = B.sketch_flags(_cell(least[change]), answer, ranges)
-        at = at[flags[np.cumsum(change) - 1]]
+        at = at[flags[np.cumsum(change) - 1] & ~copy]
     pair = _pairs(names, at, size) if len(at) else np.zeros(0, B.U64)
     own = block.ids[np.searchsorted(block.offsets, at, "right") - 1]
     order = np.lexsort((own, pair))
@@ -104,8 +136,20 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id
 
     def sample(block, _):
         yield from B.sketch_load(_cell(_sample(_positions(block, size)[2])), sample_ranges)
+        high, low, least, _ = _texts(block)
+        cut = B.cuts(high, COPY_RANGES)
+        for i in range(COPY_RANGES):
+            a, b = cut[i], cut[i + 1]
+            if b > a:
+                yield sample_ranges + i, (B.pack_sorted(high[a:b]), B.pack_array(low[a:b]), B.pack_array(least[a:b]))
+
+    def count(bucket, loads):
+        if bucket < sample_ranges:
+            return B.sketch_reply(bucket, loads)
+        got = B.grouped_min([B.unpack_sorted(x[0]) for x in loads], [B.unpack_array(x[2], np.int64) for x in loads], [B.unpack_array(x[1], B.U64) for x in loads])
+        return [B.pack_bits(x) for x in got]
 
-    named = B.merge(B.send(packed, sample), B.sketch_reply, "names")
+    named = B.merge(B.send(packed, sample), count, "names")
 
     def double(block, ans):
         *_, pair, least = _live(block, ans[0], size, sample_ranges)
@@ -138,6 +182,8 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id
         change[hit] += 1
         change[hit + size] -= 1
         gone = np.cumsum(change[:-1]) > 0
+        lengths = np.diff(block.offsets)
+        gone |= np.repeat(_copies(block, ans[0], sample_ranges) & (lengths >= size), lengths)
         first = np.zeros(len(block.data) + 1, bool)
         first[block.offsets] = True
         opens = gone & (first[:-1] | ~np.concatenate([[False], gone[:-1]]))
