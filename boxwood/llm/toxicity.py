@@ -91,21 +91,27 @@ class Grammar:
 
 def lexicon(texts: list[str], labels: list[int], least: int = 5, precision: float = 0.9) -> tuple[frozenset[str], tuple[str, ...]]:
     """Words and stems that mark label 1, chosen by greedy cover of its texts."""
-    split = [set(WORD.findall(t.lower())) for t in texts]
-    forms = lambda ws: {w for w in ws if len(w) > 2} | {w[:n] + "*" for w in ws for n in (4, 5, 6) if len(w) >= n}
-    good = [forms(s) for s, y in zip(split, labels, strict=True) if y]
-    seen = Counter(x for s in good for x in s)
-    seen = {x: n for x, n in seen.items() if n >= least}
+    def forms(text: str) -> set[str]:
+        ws = set(WORD.findall(text.lower()))
+        return {w for w in ws if len(w) > 2} | {w[:n] + "*" for w in ws for n in (4, 5, 6) if len(w) >= n}
+
+    # Texts are read one at a time and only counts are kept: first how many texts
+    # of label 1 have a form, then, for those that enough have, how many others do.
+    marked = [t for t, y in zip(texts, labels, strict=True) if y]
+    count: Counter = Counter()
+    for t in marked:
+        count.update(forms(t))
+    seen = {x: n for x, n in count.items() if n >= least}
+    del count
     wrong: Counter = Counter()
-    for s, y in zip(split, labels, strict=True):
+    for t, y in zip(texts, labels, strict=True):
         if not y:
-            wrong.update(x for x in forms(s) if x in seen)
+            wrong.update(seen.keys() & forms(t))
     where: dict[str, set[int]] = {x: set() for x, n in seen.items() if n >= precision * (n + wrong[x])}
-    for i, s in enumerate(good):
-        for x in s:
-            if x in where:
-                where[x].add(i)
-    left, chosen = set(range(len(good))), []
+    for i, t in enumerate(marked):
+        for x in where.keys() & forms(t):
+            where[x].add(i)
+    left, chosen = set(range(len(marked))), []
     while where and left:
         best = max(where, key=lambda x: (len(where[x] & left), len(where[x]), len(x), x))
         if len(where[best] & left) < least:
@@ -142,8 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     share = min(1.0, sample / max(n, 1))
     some = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else marked
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(some, "doc_id").select("text", "toxic").collect()
-    distinct = list({r.text: r for r in rows}.values())
-    texts, y = [r.text for r in distinct], [int(r.toxic) for r in distinct]
+    label = {r.text: int(r.toxic) for r in rows}
+    del rows
+    texts, y = list(label), list(label.values())
     if not 0 < sum(y) < len(y):
         return Grammar()
     words, stems = lexicon(texts, y)
