@@ -151,8 +151,9 @@ def digest(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark``; touching
     and overlapping spans become one mark. Null texts stay null."""
-    rest = [c for c in docs.columns if c != "text"]
-    found = scan(docs.withColumn("_null", F.col("text").isNull()), keep=(*rest, "_null"))
+    # One struct holds the row, so no column of it can clash with ours.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = scan(docs.select(row.alias("_row"), "text"), keep=("_row",))
 
     def step(acc: Column, x: Column) -> Column:
         piece = F.when(x["s"] > acc["at"], F.concat(F.col("text").substr(acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(F.when(acc["out"] == "", F.lit(mark)).otherwise(F.lit("")))
@@ -160,8 +161,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     spans = F.array_sort(F.concat("base", "extra"))
     done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_null"), F.lit(None).cast("string")).when(F.size(spans) == 0, F.col("text")).otherwise(done)
-    return found.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.col("_row.text").isNull(), F.lit(None).cast("string")).when(F.size(spans) == 0, F.col("text")).otherwise(done)
+    return found.select(*[text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def _sql() -> str:
