@@ -4,10 +4,13 @@ Words of a clause are read by five small transducers that run side by side (thei
 composition): insults, threats, targets, negation and reported speech. An insult
 or threat is emitted with the states that the others are in: addressed to a
 target, negated, quoted, or plain. A document's features are the counts of the
-emissions, and a logistic model turns them into a score, so a matched clause
-weighs by its context and a word by itself decides nothing.
+emissions and their share of its words, and a logistic model turns them into a
+score, so a matched clause weighs by its context and a word by itself decides
+nothing.
 
-The insult lexicon (words and stems) and the weights are learned from labelled
+The insult lexicon has two grades, each of words and stems: sure ones, which clean
+texts hardly have, and likely ones, which are many times as frequent in texts of
+label 1 but occur in clean ones too. Lexicon and weights are learned from labelled
 training rows: those whose crc32(doc_id as text) mod 4 is not 2. The fit reads a
 bounded sample of them, ``SAMPLE`` rows (a documented parameter); every text is
 scored whole.
@@ -42,19 +45,24 @@ CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that negation and reported speech reach, and that a target may stand off.
 REACH, NEAR = 3, 4
-FEATURES = ("plain", "targeted", "negated", "quoted", "threat")
+FEATURES = ("plain", "targeted", "negated", "quoted", "threat", "likely", "doubtful", "share")
+#: A likely form is at least so many times as frequent in texts of label 1.
+RATIO = 10
 
 
 @dataclass
 class Grammar:
     words: frozenset[str] = frozenset(SEEDS)
     stems: tuple[str, ...] = ()
-    weights: list[float] = field(default_factory=lambda: [2.0, 2.5, 0.5, 1.0, 2.0])
+    likely: frozenset[str] = frozenset()
+    likely_stems: tuple[str, ...] = ()
+    weights: list[float] = field(default_factory=lambda: [2.0, 2.5, 0.5, 1.0, 2.0, 1.0, 0.5, 0.5])
     bias: float = -4.0
 
     def pattern(self) -> re.Pattern:
         """Finds texts in which some transducer can emit at all."""
-        some = [re.escape(w) + r"(?![^\W\d_])" for w in sorted(self.words)] + [re.escape(s) for s in sorted(self.stems)] + [re.escape(w) + r"(?![^\W\d_])" for w in sorted(THREATS)]
+        whole, begun = self.words | self.likely | THREATS, {*self.stems, *self.likely_stems}
+        some = [re.escape(w) + r"(?![^\W\d_])" for w in sorted(whole)] + [re.escape(s) for s in sorted(begun)]
         return re.compile(r"(?<![^\W\d_])(?:" + "|".join(some) + ")")
 
     def emissions(self, text: str, first: re.Pattern | None = None) -> np.ndarray:
@@ -62,12 +70,19 @@ class Grammar:
         text = text.lower()
         if not (first or self.pattern()).search(text):
             return out
+        n = 0
         for clause in CLAUSE.split(text):
-            out += self.clause(WORD.findall(clause))
+            words = WORD.findall(clause)
+            out += self.clause(words)
+            n += len(words)
+        out[7] = 100 * out.sum() / max(n, 1)
         return out
 
     def insult(self, word: str) -> bool:
-        return word in self.words or (bool(self.stems) and word.startswith(self.stems))
+        return word in self.words or word.startswith(self.stems)
+
+    def likely_insult(self, word: str) -> bool:
+        return word in self.likely or word.startswith(self.likely_stems)
 
     def clause(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(FEATURES))
@@ -77,10 +92,12 @@ class Grammar:
                 negated = REACH + 1
             if w in REPORTS:
                 quoted = len(words)
-            near = any(x in TARGETS for x in words[max(0, i - NEAR) : i + NEAR + 1])
+            near = lambda i=i: any(x in TARGETS for x in words[max(0, i - NEAR) : i + NEAR + 1])
             if self.insult(w):
-                out[2 if negated else 3 if quoted else 1 if near else 0] += 1
-            elif w in THREATS and near and not negated and not quoted:
+                out[2 if negated else 3 if quoted else 1 if near() else 0] += 1
+            elif self.likely_insult(w):
+                out[6 if negated or quoted else 5] += 1
+            elif w in THREATS and not negated and not quoted and near():
                 out[4] += 1
             negated, quoted = max(0, negated - 1), max(0, quoted - 1)
         return out
@@ -89,40 +106,60 @@ class Grammar:
         return float(1 / (1 + np.exp(-(self.bias + np.log1p(emitted) @ np.array(self.weights)))))
 
 
-def lexicon(texts: list[str], labels: list[int], least: int = 5, precision: float = 0.9) -> tuple[frozenset[str], tuple[str, ...]]:
-    """Words and stems that mark label 1, chosen by greedy cover of its texts."""
-    def forms(text: str) -> set[str]:
-        ws = set(WORD.findall(text.lower()))
-        return {w for w in ws if len(w) > 2} | {w[:n] + "*" for w in ws for n in (4, 5, 6) if len(w) >= n}
+def lexicon(texts: list[str], labels: list[int], least: int = 5, precision: float = 0.98) -> tuple[frozenset[str], tuple[str, ...], frozenset[str], tuple[str, ...]]:
+    """Sure words and stems, likely words and stems: forms that mark label 1, chosen
+    by greedy cover of its texts, the sure ones first. A form is sure if texts of
+    label 1 are ``precision`` of those that have it, likely if label 1 has it
+    ``RATIO`` times as often per word."""
+
+    def forms(text: str) -> Counter:
+        out: Counter = Counter()
+        words = Counter(WORD.findall(text.lower()))
+        out[""] = words.total()
+        for w, k in words.items():
+            if len(w) > 2:
+                out[w] += k
+            for n in (4, 5, 6):
+                if len(w) >= n:
+                    out[w[:n] + "*"] += k
+        return out
 
     # Texts are read one at a time and only counts are kept: first how many texts
-    # of label 1 have a form, then, for those that enough have, how many others do.
+    # of label 1 have a form, then, for those that enough have, what the others do.
     marked = [t for t, y in zip(texts, labels, strict=True) if y]
     count: Counter = Counter()
     for t in marked:
-        count.update(forms(t))
-    seen = {x: n for x, n in count.items() if n >= least}
+        count.update(forms(t).keys())
+    seen = {x for x, n in count.items() if x and n >= least}
     del count
-    wrong: Counter = Counter()
+    docs, uses, total = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
     for t, y in zip(texts, labels, strict=True):
-        if not y:
-            wrong.update(seen.keys() & forms(t))
-    where: dict[str, set[int]] = {x: set() for x, n in seen.items() if n >= precision * (n + wrong[x])}
+        got, y = forms(t), int(bool(y))
+        total[y] += got[""]
+        for x in seen & got.keys():
+            docs[y][x] += 1
+            uses[y][x] += got[x]
+    sure = {x for x in seen if docs[1][x] >= precision * (docs[1][x] + docs[0][x])}
+    often = {x for x in seen - sure if uses[1][x] * max(total[0], 1) >= RATIO * uses[0][x] * max(total[1], 1)}
+    where: dict[str, set[int]] = {x: set() for x in sure | often}
     for i, t in enumerate(marked):
-        for x in where.keys() & forms(t):
+        for x in where.keys() & forms(t).keys():
             where[x].add(i)
-    left, chosen = set(range(len(marked))), []
-    while where and left:
-        best = max(where, key=lambda x: (len(where[x] & left), len(where[x]), len(x), x))
-        if len(where[best] & left) < least:
-            break
-        chosen.append(best)
-        left -= where.pop(best)
-    # Words of equal quality that the cover made redundant still mark other texts.
-    for x in sorted(where, key=lambda x: -len(where[x])):
-        if not x.endswith("*") and len(where[x]) >= 4 * least and seen[x] >= 0.98 * (seen[x] + wrong[x]):
-            chosen.append(x)
-    return frozenset(x for x in chosen if not x.endswith("*")), tuple(x[:-1] for x in chosen if x.endswith("*"))
+    chosen: tuple[list[str], list[str]] = ([], [])
+    # Likely forms have a cover of their own: their counts matter where a sure form is too.
+    for grade, some in enumerate((sure, often)):
+        left, open_ = set(range(len(marked))), set(some)
+        while open_ and left:
+            best = max(open_, key=lambda x: (len(where[x] & left), docs[1][x] - docs[0][x], len(x), x))
+            if len(where[best] & left) < least:
+                break
+            chosen[grade].append(best)
+            left -= where[best]
+            open_.remove(best)
+        if not grade:  # sure words that the cover made redundant still mark other texts
+            chosen[0].extend(x for x in sorted(open_, key=lambda x: -docs[1][x]) if not x.endswith("*") and docs[1][x] >= 4 * least)
+    split = lambda xs: (frozenset(x for x in xs if not x.endswith("*")), tuple(x[:-1] for x in xs if x.endswith("*")))
+    return *split(chosen[0]), *split(chosen[1])
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> tuple[list[float], float]:
@@ -153,10 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     texts, y = list(label), list(label.values())
     if not 0 < sum(y) < len(y):
         return Grammar()
-    words, stems = lexicon(texts, y)
-    if not words and not stems:
+    words, stems, likely, likely_stems = lexicon(texts, y)
+    if not (words or stems or likely or likely_stems):
         return Grammar()
-    g = Grammar(words | frozenset(SEEDS), stems)
+    g = Grammar(words | frozenset(SEEDS), stems, likely, likely_stems)
     first = g.pattern()
     x = np.array([g.emissions(t, first) for t in texts])
     g.weights, g.bias = fit_weights(x, np.array(y, float))
