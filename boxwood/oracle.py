@@ -149,7 +149,7 @@ def oracle_sql() -> dict[str, str]:
         "tree_edges": f"{orders} " + " UNION ALL ".join(f"SELECT leaf_id, {d}::INTEGER AS dim, le{d} AS left_edge, re{d} AS right_edge FROM leaves" for d in range(2)),
         "subtree_bounds": f"{orders}, t AS (SELECT *, {top4} AS subtree FROM leaves, (SELECT count(*) AS n0 FROM p)) SELECT subtree, sum(npts)::BIGINT AS npts, count(*) AS num_leaves, min(le0) AS le0, max(re0) AS re0, min(le1) AS le1, max(re1) AS re1 FROM t GROUP BY subtree",
         "leaf_points": f"{orders}, {member} SELECT point_id, c0, c1, idx_pos FROM m WHERE leaf_id = 3",
-        "leaf_idx": f"{orders}, {member} SELECT point_id FROM m WHERE leaf_id = 5",
+        "leaf_idx": f"{orders}, {member} SELECT point_id FROM m WHERE leaf_id = 2",
         "leaf_slice": f"{orders}, {member} SELECT idx_pos, point_id FROM m WHERE idx_pos >= 1000 AND idx_pos < 2500",
         "pts_bounds": f"WITH p AS ({ev}) SELECT count(*) AS n, {_each(m3, 'min(c{d}) AS min_{d}, max(c{d}) AS max_{d}, max(c{d}) - min(c{d}) AS width_{d}')} FROM p",
         "argmax_slice": arg("DESC"),

@@ -179,7 +179,7 @@ def queries() -> dict[str, Query]:
         "tree_edges": lambda s, d: tree(s, d, "orders").edges_long(),
         "subtree_bounds": _subtrees,
         "leaf_points": lambda s, d: tree(s, d, "orders").leaf_points(ps(s, d, "orders").df).filter("leaf_id = 3").select("point_id", "c0", "c1", "idx_pos"),
-        "leaf_idx": lambda s, d: tree(s, d, "orders").leaf_idx(5),
+        "leaf_idx": lambda s, d: tree(s, d, "orders").leaf_idx(2),
         "leaf_slice": lambda s, d: tree(s, d, "orders").leaf_slice(1000, 2500),
         "pts_bounds": lambda s, d: bounds_df(ps(s, d, "events")),
         "argmax_slice": lambda s, d: arg_extreme(ps(s, d, "customer"), 0, 20, 120, True),
