@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.functions.points import PointSet, bounds
+from boxwood.plans.levels import cut_level, descend
 from boxwood.plans.local import State
 from boxwood.plans.select import global_rank, kth
 
@@ -95,25 +95,24 @@ def kd_distribute(points: PointSet, size: int, left_edge: list[float] | None = N
     m = points.ndim
     flags = (periodic,) * m
     root = State("", tuple(b.mins), tuple(b.maxs), tuple(left_edge or b.mins), tuple(right_edge or b.maxs), flags, flags, (None,) * m, (None,) * m)
-    todo, done, worker = [(root, b.n, 0, size, points.df)], [], F.lit(None).cast("int")
-    d = points.df
-    exprs: list[tuple[Column, int]] = []
-    conds: dict[str, Column] = {"": F.lit(True)}
+    todo, done = {root.path: (root, b.n, 0, size)}, []
+    placed = points.df.withColumn("subtree", F.lit(root.path))
     while todo:
-        s, n, first, k, own = todo.pop(0)
-        if k == 1:
-            done.append((first, n, s))
-            exprs.append((conds[s.path], first))
-            continue
-        dim, half = s.split_dim, (n + 1) // 2
-        v, i = kth(own, f"c{dim}", half, n)
-        less = (F.col(f"c{dim}") < v) | ((F.col(f"c{dim}") == v) & (F.col("point_id") <= i))
-        a, c = s.children(dim, v)
-        conds[a.path], conds[c.path] = conds[s.path] & less, conds[s.path] & ~less
-        r = split_rank(k)
-        todo += [(a, half, first, r, own.filter(less)), (c, n - half, first + r, k - r, own.filter(~less))]
-    worker = reduce(lambda acc, x: F.when(x[0], F.lit(x[1])).otherwise(acc), exprs, worker)
-    return d.withColumn("worker", worker), sorted(done, key=lambda x: x[0])
+        done += [(first, n, s) for s, n, first, k in todo.values() if k == 1]
+        split = {p: (s, n) for p, (s, n, _, k) in todo.items() if k > 1}
+        if not split:
+            break
+        cuts = cut_level(placed, m, split)
+        placed = descend(placed, m, split, cuts)
+        after = {}
+        for p, (s, n) in split.items():
+            (_, _, first, k), half = todo[p], cuts[p][3]
+            a, c = s.children(s.split_dim, cuts[p][0])
+            r = split_rank(k)
+            after[a.path], after[c.path] = (a, half, first, r), (c, n - half, first + r, k - r)
+        todo = after
+    of = F.broadcast(placed.sparkSession.createDataFrame([(s.path, w) for w, _, s in done], "subtree string, worker int"))
+    return placed.join(of, "subtree").select(*points.df.columns, "worker"), sorted(done, key=lambda x: x[0])
 
 
 def region_table(spark, regions: list[tuple[int, int, State]]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Which leaf holds a position."""
 
-from __future__ import annotations
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from boxwood.functions.boxes import wrap
 from boxwood.plans.model import TreeModel
 
-#: Trees of at most this many nodes are broadcast (about 40 bytes a node).
+#: Trees of at most this many nodes are broadcast, as flat arrays of about 21 bytes a node.
 BROADCAST_NODES = 2_000_000
 
 
@@ -26,25 +27,36 @@ def _inside(tree: TreeModel, coords: list[Column]) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def _descender(nodes: pd.DataFrame):
-    """Vectorised descent of arrays of positions over a node table."""
-    nodes = nodes.sort_values("path", kind="stable").reset_index(drop=True)
-    at = {p: i for i, p in enumerate(nodes["path"])}
-    inner = nodes["split_dim"].notna().to_numpy()
-    dim = nodes["split_dim"].fillna(-1).to_numpy(np.int64)
-    val = nodes["split_val"].astype(float).to_numpy()
-    leaf = nodes["leaf_id"].fillna(-1).to_numpy(np.int64)
-    less = np.array([at.get(p + "0", -1) for p in nodes["path"]])
-    more = np.array([at.get(p + "1", -1) for p in nodes["path"]])
+@dataclass(frozen=True)
+class FlatTree:
+    """Nodes in depth-first order as flat arrays: a node's less child is the next
+    one, ``more`` is its greater child; ``dim`` is -1 at a leaf. 21 bytes a node."""
 
-    def run(x: np.ndarray) -> np.ndarray:
-        cur, rows = np.zeros(len(x), np.int64), np.arange(len(x))
-        while (go := inner[cur]).any():
-            r, c = rows[go], cur[go]
-            cur[go] = np.where(x[r, dim[c]] < val[c], less[c], more[c])
-        return leaf[cur]
+    dim: np.ndarray
+    val: np.ndarray
+    more: np.ndarray
+    leaf: np.ndarray
 
-    return run
+    @classmethod
+    def of(cls, paths: list[str], dim: np.ndarray, val: np.ndarray, leaf: np.ndarray) -> "FlatTree":
+        order = sorted(range(len(paths)), key=paths.__getitem__)
+        at = {paths[j]: i for i, j in enumerate(order)}
+        more = np.array([at.get(paths[j] + "1", -1) for j in order], np.int32)
+        return cls(dim[order].astype(np.int8 if dim.max(initial=0) < 128 else np.int32), val[order], more, leaf[order].astype(np.int32))
+
+    def descend(self, x: np.ndarray) -> np.ndarray:
+        """Leaf ids of the rows of ``x``."""
+        cur = np.zeros(len(x), np.int64)
+        go = np.flatnonzero(self.dim[cur] >= 0)
+        while len(go):
+            c = cur[go]
+            cur[go] = np.where(x[go, self.dim[c]] < self.val[c], c + 1, self.more[c])
+            go = go[self.dim[cur[go]] >= 0]
+        return self.leaf[cur]
+
+
+def flat_tree(nodes: pd.DataFrame) -> FlatTree:
+    return FlatTree.of(nodes["path"].tolist(), nodes["split_dim"].fillna(-1).to_numpy(np.int64), nodes["split_val"].astype(float).to_numpy(), nodes["leaf_id"].fillna(-1).to_numpy(np.int64))
 
 
 def locate(tree: TreeModel, positions: DataFrame, coords: list[str], broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
@@ -63,14 +75,13 @@ def locate(tree: TreeModel, positions: DataFrame, coords: list[str], broadcast_n
     d = positions.withColumns(dict(zip(names, at, strict=True)))
     inside = _inside(tree, [F.col(n) for n in names]) & ~F.greatest(F.lit(False), *[F.coalesce(F.isnan(n), F.lit(True)) for n in names])
     if tree.num_leaves * 2 <= broadcast_nodes:
-        spark = positions.sparkSession
-        # The descender is a closure over node dicts, shipped once per executor.
-        table = spark.sparkContext.broadcast(tree.nodes.select("path", "split_dim", "split_val", "leaf_id").toPandas())
+        table = positions.sparkSession.sparkContext.broadcast(flat_tree(tree.nodes.select("path", "split_dim", "split_val", "leaf_id").toPandas()))
 
         @F.pandas_udf("int")
-        def descend(*cols: pd.Series) -> pd.Series:
-            run = _descender(table.value)
-            return pd.Series(run(np.column_stack([c.to_numpy(float) for c in cols])), dtype="int32")
+        def descend(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            flat = table.value
+            for cols in batches:
+                yield pd.Series(flat.descend(np.column_stack([c.to_numpy(float) for c in cols])), dtype="int32")
 
         safe = [F.when(F.col("_in"), F.col(n)).otherwise(F.lit(tree.left_edge[i])) for i, n in enumerate(names)]
         out = d.withColumn("_in", inside).withColumn("leaf_id", F.when(F.col("_in"), descend(*safe)))
@@ -93,7 +104,7 @@ def _two_step(tree: TreeModel, d: DataFrame, keep: list[str], names: list[str])
 
     def run(points: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         out = points[keep].copy()
-        out["leaf_id"] = _descender(nodes)(points[names].to_numpy(float)).astype("int32") if len(points) else pd.Series([], dtype="int32")
+        out["leaf_id"] = flat_tree(nodes).descend(points[names].to_numpy(float)) if len(points) else pd.Series([], dtype="int32")
         return out
 
     part = tree.nodes.filter("subtree IS NOT NULL").select(F.col("subtree").alias("_sub"), "path", "split_dim", "split_val", "leaf_id")

@@ -1,8 +1,8 @@
 """Building the partition tree.
 
-The driver holds the state of the top nodes only. Top levels are split by passes
-over the points: the median rule by an exact bracketed selection, the sliding
-midpoint by conditional aggregates. Once a node has at most ``subtree_points``
+The driver holds the state of the top nodes only. A top level is split by a few
+passes over the points, all its nodes together: the median rule by an exact
+bracketed selection, the sliding midpoint by conditional aggregates. Once a node has at most ``subtree_points``
 points, one grouped pass splits every such subtree to its leaves. Node ids are then
 offsets of subtrees (one small row each on the driver) plus positions inside them,
 so no step ranks all leaves or all points in one task.
@@ -14,16 +14,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from boxwood.functions.points import PointSet, bounds
+from boxwood.plans.levels import cut_level, descend
 from boxwood.plans.local import State, finish
 from boxwood.plans.model import TreeModel
-from boxwood.plans.select import global_rank, kth
+from boxwood.plans.select import global_rank
 from boxwood.plans.stage import stage
 
 SUBTREE_POINTS = 250_000
+#: The nodes that points have reached are written after so many levels.
+STAGE_LEVELS = 6
 NODE = "subtree string, path string, point_id long, local_leaf int, local_pos long, npts long, split_dim int, split_val double, mins array<double>, maxs array<double>, left_edge array<double>, right_edge array<double>, periodic_left array<boolean>, periodic_right array<boolean>, left_plane array<string>, right_plane array<string>"
 
 
@@ -85,6 +88,7 @@ def build(
     top, open_ = {}, {root.path: (root, b.n)}
     subtrees: dict[str, tuple[State, int]] = {}
     placed = points.df.withColumn("subtree", F.lit(root.path))
+    level = 0
     while open_:
         split = {}
         for path, (s, n) in sorted(open_.items()):
@@ -94,8 +98,11 @@ def build(
                 split[path] = (s, n)
         if not split:
             break
-        cuts = _cut(placed, split, use_sliding_midpoint)
-        placed = placed.withColumn("subtree", _descend(points, placed, split, cuts))
+        cuts = cut_level(placed, m, split, use_sliding_midpoint)
+        placed = descend(placed, m, split, cuts)
+        level += 1
+        if level % STAGE_LEVELS == 0:
+            placed = stage(placed, "placed")
         open_ = {}
         for path, (s, n) in split.items():
             value, _, _, k = cuts[path]
@@ -107,41 +114,6 @@ def build(
     return TreeModel.assemble(rows, top, subtrees, meta)
 
 
-def _cut(placed: DataFrame, split: dict, sliding: bool) -> dict[str, tuple[float, float, int, int]]:
-    """By node: (split value, last value of the less side, its last id or -1 for
-    "by value", size of the less side)."""
-    out = {}
-    for path, (s, n) in split.items():
-        own, c = placed.filter(F.col("subtree") == path), f"c{s.split_dim}"
-        if not sliding:
-            k = (n + 1) // 2
-            v, i = kth(own.select("point_id", c), c, k, n)
-            out[path] = (v, v, i, k)
-            continue
-        mid = (s.mins[s.split_dim] + s.maxs[s.split_dim]) / 2
-        key = F.struct(F.col(c).alias("v"), F.col("point_id").alias("i"))
-        row = own.agg(F.count_if(F.col(c) <= mid).alias("k"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-        if row["k"] == 0:
-            out[path] = (row["lo"]["v"], row["lo"]["v"], row["lo"]["i"], 1)
-        elif row["k"] == n:
-            below = own.filter((F.col(c) < row["hi"]["v"]) | ((F.col(c) == row["hi"]["v"]) & (F.col("point_id") < row["hi"]["i"]))).agg(F.max(key).alias("x")).first()["x"]
-            out[path] = (below["v"], below["v"], below["i"], n - 1)
-        else:
-            out[path] = (mid, mid, np.iinfo(np.int64).max, row["k"])
-    return out
-
-
-def _descend(points: PointSet, placed: DataFrame, split: dict, cuts: dict) -> Column:
-    """The next level's node of each point, as one expression over the top nodes."""
-    out = F.col("subtree")
-    for path, (s, _) in split.items():
-        _, v, i, _ = cuts[path]
-        c = F.col(f"c{s.split_dim}")
-        side = F.when((c < v) | ((c == v) & (F.col("point_id") <= i)), F.lit(path + "0")).otherwise(F.lit(path + "1"))
-        out = F.when(F.col("subtree") == path, side).otherwise(out)
-    return out
-
-
 def _finish(points: PointSet, placed: DataFrame, subtrees: dict[str, tuple[State, int]], leafsize: int, sliding: bool) -> DataFrame:
     """Rows of nodes and of points of all subtrees, from one grouped pass. A
     subtree that is already a leaf and too large for a task (equal points) is
