@@ -148,9 +148,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2) -> DataFrame:
-    """``docs`` (``doc_id``, ``text`` and any other columns) without contaminated
-    rows. What is joined back is one small row per contaminated text."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
+    """``docs`` (``doc_id``, ``text`` and any other columns) without the rows that
+    hold a window of ``min_items`` items or more: one passage is enough. What is joined back is one small row per contaminated text."""
     source = docs.select("doc_id", "text")
     wins = windows_of(benchmark.select("item_id", "text"), window)
     anchors = stash(anchored_windows(source, wins), "anchors")
