@@ -4,24 +4,29 @@ Operators that compare every window of every document would need a row per
 window; a row costs far more than its key. So documents are packed into blocks
 of a few MB (compressed, written once to the shared folder), a task hashes the
 windows of a block with vectorised arithmetic, and what travels is, for each
-block and key range, one sorted array of distinct keys, stored as differences.
-Who receives a key range merges the arrays of all blocks and sends each block
-its answers in the order of its keys.
+block and key range that it has keys in, one sorted array of distinct keys,
+stored as differences. Who receives a key range merges the arrays of all blocks
+and sends each block its answers in the order of its keys.
 
 A key that a third of all documents share is in a block's array once, so key
 ranges stay even however skewed the documents are; ranges are sized by the
-number of windows, so a task's memory does not grow with the corpus.
-
-Fingerprints are 64 bits of a polynomial over random byte values, finished by a
-mixing step. Which documents are in which block is decided once, by the written
-table, so every later pass and every retry sees the same blocks.
+number of keys, so a task's memory does not grow with the corpus. Arrays number
+at most blocks times ranges, and never more than the keys.
+
+Fingerprints are 64 bits of a polynomial over random symbol values, finished by a
+mixing step. They are made in slices of ``STEP`` symbols, so a block costs a few
+times its own size in memory however long its documents are. Which documents are
+in which block is decided once, by the written table, so every later pass and
+every retry sees the same blocks.
 """
 
 from __future__ import annotations
 
+import ctypes
 import math
 import pickle
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +40,26 @@ from boxwood.llm.common import stash
 
 U64 = np.uint64
 NO_ID = np.iinfo(np.int64).max
+#: Text bytes of a block, and symbols hashed at a time.
+BLOCK_BYTES, STEP = 4 << 20, 1 << 17
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, (2, 256), dtype=np.uint64) * U64(2) + U64(1)
-_BASES = ((0x9E3779B97F4A7C15, 0xD1B54A32D192ED03), (0xAEF17502108EF2D9, 0x8CB92BA72F3D8DD7))
+_BASES = (0x9E3779B97F4A7C15, 0xAEF17502108EF2D9)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-_powers: dict[int, np.ndarray] = {}
+
+
+@cache
+def lean() -> None:
+    """Has a worker hand freed memory back to the system: workers are reused, and
+    what one task needed once would stay with them."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:  # glibc: arrays from 4 MB on are mapped, the heap's end is trimmed
+        mallopt(-3, 4 << 20)
+        mallopt(-1, 4 << 20)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,33 +72,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n + (n >> 2), 1 << 16), base, U64)
-        have[0] = 1
-        _powers[base] = have = np.cumprod(have)
-    return have[:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U64)
+    out[:1] = 1
+    return np.cumprod(out)
 
 
-def prefixes(values: np.ndarray, base: int) -> np.ndarray:
-    """``out[j] - out[i]`` is the polynomial of values[i:j], times base**i."""
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers(base, len(values)), out=out[1:])
-    return out
+@cache
+def _usual(which: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASES[which], 2 * STEP), _powers(pow(_BASES[which], -1, 1 << 64), 2 * STEP)
+
+
+def _prefixes(values: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """``pre, inv``: ``(pre[j] - pre[i]) * inv[i]`` is the polynomial of values[i:j]."""
+    n = len(values) + 1
+    p, inv = _usual(which) if n <= 2 * STEP else (_powers(_BASES[which], n), _powers(pow(_BASES[which], -1, 1 << 64), n))
+    v = _TABLE[which][values] if values.dtype == np.uint8 else values
+    pre = np.zeros(n, U64)
+    np.cumsum(v * p[: n - 1], out=pre[1:])
+    return pre, inv
 
 
-def segments(pre: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice, base: int) -> np.ndarray:
-    """Fingerprints, before mixing, of values[start:end], equal wherever they stand."""
-    inverse = powers(pow(base, -1, 1 << 64), len(pre))
-    return (pre[ends] - pre[starts]) * inverse[starts]
+def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Fingerprints of values[start:end] (bytes, or 64-bit words), the same wherever
+    they stand. ``starts`` and ``ends`` ascend."""
+    out, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + STEP, "right")))
+        pre, inv = _prefixes(values[a : int(ends[j - 1])], which)
+        s = starts[i:j] - a
+        out[i:j] = (pre[ends[i:j] - a] - pre[s]) * inv[s]
+        i = j
+    return mix(out + (ends - starts).astype(U64))
+
+
+def rolling(values: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """Fingerprint of each run of ``size`` values, by start."""
+    n = len(values) - size + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    out = np.empty(n, U64)
+    for a in range(0, n, STEP):
+        b = min(a + STEP, n)
+        pre, inv = _prefixes(values[a : b + size - 1], which)
+        out[a:b] = mix((pre[size : size + b - a] - pre[: b - a]) * inv[: b - a])
+    return out
 
 
 class Block:
     """Some documents: ``ids`` (``NO_ID`` where null), ``offsets`` into ``data``."""
 
     def __init__(self, packed: bytes):
-        raw = zstandard.ZstdDecompressor().decompress(packed)
+        raw = _UNZIP.decompress(packed)
         n = int(np.frombuffer(raw, np.int64, 1)[0])
         self.ids = np.frombuffer(raw, np.int64, n, 8)
         self.offsets = np.frombuffer(raw, np.int64, n + 1, 8 + 8 * n)
@@ -117,50 +162,36 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def lower_bytes(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z; all other bytes as they are."""
-    table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    return table[data]
+    return _LOWER[data]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    base = _BASES[which][0]
-    pre = prefixes(_TABLE[which][data], base)
-    return mix(segments(pre, starts, ends, base) + (ends - starts).astype(U64))
-
-
-def window_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """Fingerprint of each run of ``size`` values, by start."""
-    if len(words) < size:
-        return np.zeros(0, U64)
-    base = _BASES[which][1]
-    pre, n = prefixes(words, base), len(words) - size + 1
-    return mix(segments(pre, slice(0, n), slice(size, size + n), base))
-
-
-def byte_hashes(data: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    if len(data) < size:
-        return np.zeros(0, U64)
-    base = _BASES[which][0]
-    pre, n = prefixes(_TABLE[which][data], base), len(data) - size + 1
-    return mix(segments(pre, slice(0, n), slice(size, size + n), base))
+    return spans(data, starts, ends, which)
 
 
 def arrow_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and joined bytes of a string array; null counts as empty."""
+    """Lengths and joined bytes of a string array, without a copy where it has no
+    nulls; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pc.fill_null(col, "").cast(pa.large_string())
-    at = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, 8 * col.offset) if len(col) else np.zeros(1, np.int64)
+    if col.null_count:
+        col = pc.fill_null(col, "")
+    if not len(col):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    wide = pa.types.is_large_string(col.type)
+    at = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32, len(col) + 1, (8 if wide else 4) * col.offset).astype(np.int64)
     body = col.buffers()[2]
     data = np.frombuffer(body, np.uint8)[at[0] : at[-1]] if body is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
     return np.diff(at), data
 
 
-def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4 << 20) -> DataFrame:
+def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None) -> DataFrame:
     """``(block, n, raw, data)``, written to the shared folder. A block holds
     about ``size`` bytes of text, or one document if that is longer."""
+    size = size or BLOCK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         number, ids, lens, data, have = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -168,8 +199,6 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sum(map(len, ids))], pa.int64()), pa.array([have], pa.int64()), pa.array([packed], pa.binary())], ["block", "n", "raw", "data"])
 
         for b in batches:
-            if not b.num_rows:
-                continue
             own = pc.fill_null(b.column(0), int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
             lengths, joined = arrow_bytes(b.column(1))
             ends, i = np.cumsum(lengths), 0
@@ -227,10 +256,14 @@ def unpack_bits(packed: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8, -1, 8), count=int.from_bytes(raw[:8], "little")).astype(bool)
 
 
-def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where ascending keys pass from one of ``ranges`` equal key ranges to the next."""
-    edges = (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(U64) if ranges > 1 else np.zeros(0, U64)
-    return np.concatenate([[0], np.searchsorted(keys, edges, "left"), [len(keys)]]).astype(np.int64)
+def parts(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """``(range, from, to)`` of ascending keys for each of ``ranges`` equal key
+    ranges (a power of two) that has any."""
+    if not len(keys):
+        return
+    of = (keys >> U64(64 - int(math.log2(ranges)))).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
+    at = np.flatnonzero(np.diff(of, prepend=-1))
+    yield from zip(of[at].tolist(), at.tolist(), np.append(at[1:], len(keys)).tolist(), strict=True)
 
 
 Emit = Callable[[Block, list], Iterable[tuple[int, tuple]]]
@@ -241,9 +274,10 @@ def send(blocks: DataFrame, emit: Emit, answers: int = 0) -> DataFrame:
     (bucket, arrays packed)."""
 
     def run(batches):
+        lean()
         for b in batches:
             for at, data, ans in rows_of(b, answers):
-                got = [(bucket, load) for bucket, load in emit(Block(data), ans)]
+                got = list(emit(Block(data), ans))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int32()), pa.array([at] * len(got), pa.int64()), pa.array([pickle.dumps(x) for _, x in got], pa.binary())], ["bucket", "block", "load"])
 
@@ -265,6 +299,7 @@ def merge(sent: DataFrame, reply: Callable[[int, list[tuple]], list], name: str)
     answer for each load. Written to the shared folder."""
 
     def run(t: pa.Table) -> pa.Table:
+        lean()
         order = np.argsort(t.column("block").to_numpy(), kind="stable")
         at = [t.column("block")[int(i)].as_py() for i in order]
         bucket = t.column("bucket")[0].as_py()
@@ -283,63 +318,82 @@ def with_answers(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
     return blocks
 
 
-def grouped_min(arrays: list[np.ndarray], mins: list[np.ndarray], checks: list[np.ndarray] | None = None) -> list[np.ndarray]:
-    """For each key of each array: whether the least of ``mins`` over that key in
-    all arrays is below its own."""
-    if not arrays:
-        return []
-    keys, least = np.concatenate(arrays), np.concatenate(mins)
-    if checks is None:
-        order = np.argsort(keys, kind="stable")
-        new = np.diff(keys[order], prepend=keys[order[:1]] ^ U64(1)) != 0
-    else:
-        check = np.concatenate(checks)
-        order = np.lexsort((check, keys))
-        new = (np.diff(keys[order], prepend=keys[order[:1]] ^ U64(1)) != 0) | (np.diff(check[order], prepend=check[order[:1]]) != 0)
-    if not len(keys):
-        return [np.zeros(0, bool) for _ in arrays]
-    at = np.flatnonzero(new)
-    lowest = np.minimum.reduceat(least[order], at)
-    flags = np.empty(len(keys), bool)
-    flags[order] = lowest[np.cumsum(new) - 1] < least[order]
-    return np.split(flags, np.cumsum([len(a) for a in arrays])[:-1])
-
-
-def repeated(arrays: list[np.ndarray], many: list[np.ndarray]) -> list[np.ndarray]:
-    """For each cell of each array: whether all arrays together count it twice or
-    more (``many``: this one alone does)."""
-    if not arrays:
-        return []
-    keys, twice = np.concatenate(arrays), np.concatenate(many)
-    if not len(keys):
-        return [np.zeros(0, bool) for _ in arrays]
-    order = np.argsort(keys, kind="stable")
-    new = np.diff(keys[order], prepend=keys[order[:1]] ^ U64(1)) != 0
-    at = np.flatnonzero(new)
-    count = np.add.reduceat(1 + twice[order].astype(np.int64), at)
-    flags = np.empty(len(keys), bool)
-    flags[order] = count[np.cumsum(new) - 1] > 1
-    return np.split(flags, np.cumsum([len(a) for a in arrays])[:-1])
-
-
-def sketch_load(cells: np.ndarray, ranges: int, first: int = 0) -> Iterable[tuple[int, tuple]]:
-    """A block's sparse sketch row: per range, its cells and which it counts twice."""
-    u, n = np.unique(cells, return_counts=True)
-    at = cuts(u, ranges)
-    for i in range(ranges):
-        a, b = at[i], at[i + 1]
-        if b > a:
-            yield first + i, (pack_sorted(u[a:b]), pack_bits(n[a:b] > 1))
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted columns differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+class Entries:
+    """Distinct pairs (key, check) of a block's items, ascending, each with its
+    least owner; ``back`` is the pair of each item."""
+
+    def __init__(self, key: np.ndarray, check: np.ndarray, own: np.ndarray):
+        order = np.lexsort((own, check, key))
+        new = starts_of(key[order], check[order])
+        self.back = np.empty(len(order), np.int64)
+        self.back[order] = np.cumsum(new) - 1
+        firsts = order[new]
+        self.key, self.check, self.least = key[firsts], check[firsts], own[firsts]
+
+    def loads(self, ranges: int) -> Iterator[tuple[int, tuple]]:
+        for i, a, b in parts(self.key, ranges):
+            yield i, (pack_sorted(self.key[a:b]), pack_array(self.check[a:b]), pack_array(self.least[a:b]))
+
+
+def least_owners(loads: list[tuple]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each pair of each load (as :meth:`Entries.loads` sends them): whether all
+    loads together have it with a smaller owner, and whether its key comes with
+    other checks as well."""
+    keys, checks, least = [unpack_sorted(x[0]) for x in loads], [unpack_array(x[1], U64) for x in loads], [unpack_array(x[2], np.int64) for x in loads]
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    key, check, own = np.concatenate(keys), np.concatenate(checks), np.concatenate(least)
+    del keys, checks, least
+    order = np.lexsort((check, key))
+    new = starts_of(key[order], check[order])
+    group = np.cumsum(new) - 1
+    lowest = np.minimum.reduceat(own[order], np.flatnonzero(new))
+    before = np.empty(len(key), bool)
+    before[order] = lowest[group] < own[order]
+    name = np.cumsum(starts_of(key[order])) - 1
+    many = np.bincount(name[new])
+    open_ = np.empty(len(key), bool)
+    open_[order] = (many > 1)[name]
+    return np.split(before, ends), np.split(open_, ends)
+
+
+def sketch_loads(names: np.ndarray, row: int, bits: int, ranges: int) -> Iterator[tuple[int, tuple]]:
+    """One row of a block's count-min sketch of ``2**bits`` counters of 8 bits that
+    stop at 255. It is kept sparse, as its counters that are not 0."""
+    cells, n = np.unique(cells_of(names, row, bits), return_counts=True)
+    for i, a, b in parts(cells, ranges):
+        yield row * ranges + i, (pack_sorted(cells[a:b]), pack_array(np.minimum(n[a:b], 255).astype(np.uint8)))
+
+
+def cells_of(names: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The counter of each name, in the upper bits."""
+    return mix(names + U64(0x632BE59BD9B4E019 + 0x51ED270B * row)) & ~U64((1 << (64 - bits)) - 1)
 
 
 def sketch_reply(_: int, loads: list[tuple]) -> list:
-    got = repeated([unpack_sorted(a) for a, _ in loads], [unpack_bits(b) for _, b in loads])
-    return [pack_bits(x) for x in got]
-
-
-def sketch_flags(cells: np.ndarray, answer: dict, ranges: int, first: int = 0) -> np.ndarray:
-    """For each of a block's cells: estimated count of two or more."""
-    u, back = np.unique(cells, return_inverse=True)
-    at = cuts(u, ranges)
-    parts = [unpack_bits(answer[first + i]) for i in range(ranges) if at[i + 1] > at[i]]
-    return (np.concatenate(parts) if parts else np.zeros(0, bool))[back]
+    """The sum of a range's counters over all blocks, told as "two or more"."""
+    keys = [unpack_sorted(a) for a, _ in loads]
+    cells, counts = np.concatenate(keys), np.concatenate([unpack_array(b, np.uint8) for _, b in loads])
+    order = np.argsort(cells, kind="stable")
+    new = starts_of(cells[order])
+    total = np.minimum(np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new)), 255)
+    flags = np.empty(len(cells), bool)
+    flags[order] = (total > 1)[np.cumsum(new) - 1]
+    return [pack_bits(x) for x in np.split(flags, np.cumsum([len(k) for k in keys])[:-1])]
+
+
+def sketch_repeated(names: np.ndarray, answer: dict, rows: int, bits: int, ranges: int) -> np.ndarray:
+    """For each of a block's names: is the least of its counters two or more?"""
+    out = np.ones(len(names), bool)
+    for row in range(rows):
+        cells, back = np.unique(cells_of(names, row, bits), return_inverse=True)
+        got = [unpack_bits(answer[row * ranges + i]) for i, _, _ in parts(cells, ranges)]
+        out &= (np.concatenate(got) if got else np.zeros(0, bool))[back]
+    return out

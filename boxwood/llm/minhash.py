@@ -37,7 +37,8 @@ from boxwood.llm.components import connected
 
 ROWS, TABLES, GRID, MOST_TABLES = 3, 10, 400, 16
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, (2 * MOST_TABLES * ROWS, 2), dtype=np.uint64) * B.U64(2) + B.U64(1)
-CHUNK_BYTES = 4 << 20
+#: Text hashed at a time (or one document).
+CHUNK_BYTES = 1 << 20
 
 
 def shingle_sets(lengths: np.ndarray, data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,14 +51,14 @@ def shingle_sets(lengths: np.ndarray, data: np.ndarray, words: int) -> tuple[np.
     hashes = B.word_hashes(data, starts, ends)
     count = np.bincount(doc, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])
-    h = B.window_hashes(hashes, words)
+    h = B.rolling(hashes, words)
     fits = np.flatnonzero(doc[: len(h)] == doc[words - 1 :]) if len(h) else np.zeros(0, np.int64)
     of, values = [doc[fits]], [h[fits]]
     for k in range(1, words):
         few = np.flatnonzero(count == k)
         if len(few):
             of.append(few)
-            values.append(B.window_hashes(hashes, k)[first[few]] + B.U64(k))
+            values.append(B.rolling(hashes, k)[first[few]] + B.U64(k))
     of_, values_ = np.concatenate(of), np.concatenate(values)
     order = np.lexsort((values_, of_))
     of_, values_ = of_[order], values_[order]
@@ -86,6 +87,7 @@ def signatures(docs: DataFrame, words: int, tables: int, id_col: str, text_col:
     """``doc_id, k, cls, n, a, b``: row key, class, set size, the two collections."""
 
     def run(batches):
+        B.lean()
         for batch in batches:
             at0 = 0
             for ids, lengths, data in _chunks(batch):
@@ -158,6 +160,7 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, tables: int, id_col
     wanted = source.join(members, source.id_.eqNullSafe(members.id)).select("id_", "text_", "cls", "root", "parts")
 
     def sets(batches):
+        B.lean()
         for batch in batches:
             at0 = 0
             for ids, lengths, data in _chunks(batch):
@@ -179,6 +182,7 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, tables: int, id_col
     placed = shipped.withColumn("part", part).withColumn("cell", F.explode(cells)).select("root", "cell.i", "cell.j", "cls", "shingles")
 
     def confirm(t: pa.Table) -> pa.Table:
+        B.lean()
         names, first = np.unique(t.column("cls").to_numpy(), return_index=True)
         got = link(names, [B.unpack_sorted(t.column("shingles")[int(i)].as_py()) for i in first], num, den) if len(names) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})

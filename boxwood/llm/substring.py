@@ -1,18 +1,21 @@
 """Substring dedup: exact repeats of 50-word windows behind a count-min sketch.
 
-1. Each block counts its windows in a sparse sketch of ``DEPTH`` rows whose width
-   follows the corpus (``CELLS_PER_WINDOW`` cells a window). Sketches are merged
-   by cell range. A cell never counts less than its windows, so a window whose
-   estimate is 1 is unique and drops out; none that repeats is lost.
-2. Windows estimated repeated are grouped exactly by two independent 64-bit
-   fingerprints of their words, and the smallest document of each group is found.
+1. Each block of documents counts its windows in a count-min sketch of ``DEPTH``
+   rows of 8-bit counters whose width follows the corpus (``CELLS`` counters a
+   name). What is counted for a window is its least gram of ``GRAM`` words, which
+   neighbouring windows share, so a name stands for some 13 windows; a window
+   never occurs more often than its gram, and no counter is less than its names'
+   count. Sketches of all blocks are merged by adding counters. Windows whose
+   least counter says 1 are unique and drop out; none that repeats is lost.
+2. Windows estimated repeated are grouped exactly (:mod:`boxwood.llm.repeats`,
+   rounds 2 and 3), and the smallest document of each group is found.
 
 Defined results
     null or empty text: no words, nothing removed, ``kept`` empty.
     a null ``doc_id`` comes after every id; two null ids never remove each other.
     rows with the same id never remove each other's words.
-    texts of any length are taken whole; a document must fit a worker's memory
-    about a hundred times over. Extra columns are ignored.
+    texts of any length are taken whole, in memory of a few times their size.
+    Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,42 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.llm import blocks as B
+from boxwood.llm import repeats
 
-CELLS_PER_WINDOW, DEPTH = 8, 2
+CELLS, DEPTH, GRAM = 8, 2, 25
 
 
-def _windows(block: B.Block, size: int):
-    """Word starts, ends, documents, and for each window that stays in one
-    document its first word and fingerprint."""
+def _words(block: B.Block) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the words, and where documents begin among them."""
     starts, ends, doc = block.words()
-    words = B.word_hashes(block.data, starts, ends)
-    h = B.window_hashes(words, size)
-    at = np.flatnonzero(doc[: len(h)] == doc[size - 1 :]) if len(h) else np.zeros(0, np.int64)
-    return starts, ends, doc, at, h[at]
-
-
-def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return B.mix(h + B.U64(0x51ED270B * (row + 1))) & ~B.U64((1 << (64 - bits)) - 1)
-
-
-def _checks(block: B.Block, starts, ends, size: int, at: np.ndarray) -> np.ndarray:
-    return B.window_hashes(B.word_hashes(block.data, starts, ends, 1), size, 1)[at]
-
-
-def _live(block: B.Block, answer: dict, size: int, bits: int, ranges: int):
-    starts, ends, doc, at, h = _windows(block, size)
-    keep = np.ones(len(h), bool)
-    for row in range(DEPTH):
-        if len(h):
-            keep &= B.sketch_flags(_cells(h, row, bits), answer, ranges, row * ranges)
-    at, h = at[keep], h[keep]
-    check = _checks(block, starts, ends, size, at) if len(at) else np.zeros(0, B.U64)
-    own = block.ids[doc[at]]
-    order = np.lexsort((own, check, h))
-    new = np.ones(len(order), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])
-    firsts = order[new]
-    return starts, ends, doc, at, own, order, new, h[firsts], check[firsts], own[firsts]
+    return B.word_hashes(block.data, starts, ends), np.searchsorted(doc, np.arange(len(block) + 1)).astype(np.int64)
 
 
 def remove_repeated_windows(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,62 +44,35 @@ def remove_repeated_windows(docs: DataFrame, size: int = 50, id_col: str = "doc_
     joined by one space). A word goes if a window of ``size`` words covers it
     whose word sequence also starts in a document with a smaller id."""
     packed = B.pack_blocks(docs, id_col, text_col)
-    windows = max(B.raw_size(packed) / 5, 1)
-    bits = min(60, max(16, math.ceil(math.log2(windows * CELLS_PER_WINDOW))))
-    sketch_ranges, key_ranges = B.ranges_for(windows), B.ranges_for(windows / 3)
-
-    def count(block, _):
-        h = _windows(block, size)[4]
-        for row in range(DEPTH):
-            yield from B.sketch_load(_cells(h, row, bits), sketch_ranges, row * sketch_ranges)
+    names = max(B.raw_size(packed) / 5 * 2 / (size - min(GRAM, size) + 2), 1)
+    bits = min(60, max(16, math.ceil(math.log2(names * CELLS))))
+    ranges = (B.ranges_for(names), B.ranges_for(names), B.ranges_for(names * 2))
+    task = repeats.Task(_words, size, min(GRAM, size), DEPTH, bits, ranges)
 
-    estimated = B.merge(B.send(packed, count), B.sketch_reply, "estimates")
-
-    def group(block, ans):
-        *_, key, check, least = _live(block, ans[0], size, bits, sketch_ranges)
-        cut = B.cuts(key, key_ranges)
-        for i in range(key_ranges):
-            a, b = cut[i], cut[i + 1]
-            if b > a:
-                yield i, (B.pack_sorted(key[a:b]), B.pack_array(check[a:b]), B.pack_array(least[a:b]))
+    def finish(batches):
+        B.lean()
+        for batch in batches:
+            for _, data, answers in B.rows_of(batch, 3):
+                block = B.Block(data)
+                yield _result(block, repeats.covered(block, task, answers))
 
-    def earlier(_, loads):
-        got = B.grouped_min([B.unpack_sorted(x[0]) for x in loads], [B.unpack_array(x[2], np.int64) for x in loads], [B.unpack_array(x[1], B.U64) for x in loads])
-        return [B.pack_bits(x) for x in got]
+    return repeats.settle(packed, task).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
 
-    grouped = B.merge(B.send(B.with_answers(packed, estimated), group, 1), earlier, "groups")
 
-    def finish(batches):
-        for batch in batches:
-            for _, data, ans in B.rows_of(batch, 2):
-                yield _result(B.Block(data), ans)
-
-    def _result(block: B.Block, ans: list) -> pa.RecordBatch:
-        starts, ends, doc, at, own, order, new, key, _, least = _live(block, ans[0], size, bits, sketch_ranges)
-        cut = B.cuts(key, key_ranges)
-        parts = [B.unpack_bits(ans[1][i]) for i in range(key_ranges) if cut[i + 1] > cut[i]]
-        before = np.concatenate(parts) if parts else np.zeros(0, bool)
-        group_of = np.empty(len(order), np.int64)
-        group_of[order] = np.cumsum(new) - 1
-        hit = before[group_of] | (own > least[group_of]) if len(order) else np.zeros(0, bool)
-        change = np.zeros(len(starts) + 1, np.int32)
-        change[at[hit]] += 1
-        change[at[hit] + size] -= 1
-        gone = np.cumsum(change[:-1]) > 0
-        n = np.bincount(doc, minlength=len(block)).astype(np.int64)
-        removed = np.bincount(doc[gone], minlength=len(block)).astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(n)])
-        raw = block.data
-        kept = []
-        for i in range(len(block)):
-            if removed[i]:
-                a, b = first[i], first[i + 1]
-                kept.append(b" ".join(raw[s:e].tobytes() for s, e, g in zip(starts[a:b], ends[a:b], gone[a:b], strict=True) if not g))
-            else:
-                kept.append(b" ".join(block.text(i).split()))
-        return pa.RecordBatch.from_arrays([block.id_array(), pa.array(n), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return B.with_answers(packed, estimated, grouped).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+def _result(block: B.Block, gone: np.ndarray) -> pa.RecordBatch:
+    starts, ends, doc = block.words()
+    n = np.bincount(doc, minlength=len(block)).astype(np.int64)
+    removed = np.bincount(doc[gone], minlength=len(block)).astype(np.int64)
+    first, kept = np.concatenate([[0], np.cumsum(n)]), []
+    for i in range(len(block)):
+        if removed[i]:
+            own = slice(first[i], first[i + 1])
+            left = ~gone[own]
+            at, text = int(block.offsets[i]), block.text(i)
+            kept.append(b" ".join([text[s:e] for s, e in zip((starts[own][left] - at).tolist(), (ends[own][left] - at).tolist(), strict=True)]))
+        else:
+            kept.append(b" ".join(block.text(i).split()))
+    return pa.RecordBatch.from_arrays([block.id_array(), pa.array(n), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def digest(docs: DataFrame) -> DataFrame:

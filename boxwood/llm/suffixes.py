@@ -1,129 +1,48 @@
-"""Suffix dedup by prefix doubling over text positions.
+"""Suffix dedup: bytes covered by 50-byte strings that start in an earlier document.
 
-Positions are named by their first ``size / 2`` bytes (25 for 50), then once more
-by the pair (name here, name 25 bytes on): that doubling reaches the threshold,
-and the sorted pairs give equal names to positions that agree in 50 bytes. As in
-the classical scheme, a position leaves once its name is unique.
+Two forms of one operator.
 
-A name for every position of the corpus does not fit a disk budget of a few times
-the input (eight bytes a position are eight times the text), so uniqueness at the
-first stage is decided on a sample that loses nothing: in each 50-byte string the
-smallest of its 26 names of 25 bytes stands for it, equal strings have equal
-smallest names, and only about 2 in 27 positions are such. Names that occur once
-in the corpus make all their 50-byte strings unique. Names are 64-bit fingerprints
-rather than ranks, so no pass has to number the positions of the whole corpus.
+``doubled_ranks`` is distributed prefix doubling as in the textbook: a row a
+position, named at first by the rank of its first 7 bytes; then, at offsets of 7,
+14, 28, ... bytes, Spark sorts the pairs (rank here, rank that many bytes on) and
+ranks them anew, until a position is unique or its rank covers the threshold.
+Ranks are exact; no fingerprint takes part. A position costs a row of some 20
+bytes in each of four sorts, which is several tens of times the input in disk
+(the README has figures), so it serves texts of bounded size and as the check of
+the other form.
 
-A text that a document with a smaller id holds whole is gone whole (if it is long
-enough), and that other document stands for it; such copies are found first, by a
-128-bit hash a document, and their positions are not named.
+``remove_repeated_bytes`` keeps names of growing length and dropping of unique
+positions, but names a sample of positions that loses nothing, by fingerprints
+instead of ranks: 25 bytes, then whole runs of neighbouring positions, then the 50
+bytes where a run is still open (:mod:`boxwood.llm.repeats`).
 
 Defined results
     null or empty text: 0 bytes, nothing removed.
     a null ``doc_id`` comes after every id; two null ids never remove each other.
     rows with the same id never remove each other's bytes.
-    texts are taken whole; a document must fit a worker's memory about a hundred
-    times over. Extra columns are ignored.
+    texts of any length are taken whole, in memory of a few times their size.
+    Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.llm import blocks as B
+from boxwood.llm import repeats
+from boxwood.llm.common import stash
 
-#: Bits kept of a sampled name when names are counted: fewer can only let through more.
+#: Bits kept of a gram when grams are counted: fewer can only let through more.
 NAME_BITS = 40
+#: Bytes of the first name: as many as a rank of 63 bits holds.
+FIRST = 7
 
-#: Key ranges of whole-text hashes: one hash a document, so few are enough.
-COPY_RANGES = 16
-
-
-def _least_of(names: np.ndarray, width: int) -> np.ndarray:
-    """Smallest of each ``width`` consecutive names, by doubling."""
-    out, have = names, 1
-    while have * 2 <= width:
-        out = np.minimum(out[:-have], out[have:])
-        have *= 2
-    return np.minimum(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
-
-
-def _positions(block: B.Block, size: int):
-    """Positions whose ``size`` bytes stay in one document, with their pair name
-    and the sampled name that stands for them."""
-    half, n = size // 2, len(block.data) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, B.U64), np.zeros(0, B.U64)
-    names = B.byte_hashes(block.data, half)
-    room = np.zeros(len(block.data) + 1, np.int32)
-    lengths = np.diff(block.offsets)
-    fits = lengths >= size
-    np.add.at(room, block.offsets[:-1][fits], 1)
-    np.add.at(room, block.offsets[1:][fits] - size + 1, -1)
-    at = np.flatnonzero(np.cumsum(room[:n]) > 0)
-    return at, names, _least_of(names, size - half + 1)[at]
-
-
-def _pairs(names: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    return B.mix(names[at] * B.U64(0x9E3779B97F4A7C15) + names[at + size - size // 2])
-
-
-def _sample(least: np.ndarray) -> np.ndarray:
-    """One entry for each run of equal sampled names."""
-    if not len(least):
-        return least
-    return least[np.concatenate([[True], least[1:] != least[:-1]])]
-
-
-def _cell(names: np.ndarray) -> np.ndarray:
-    return names_mix(names) & ~B.U64((1 << (64 - NAME_BITS)) - 1)
-
-
-def names_mix(names: np.ndarray) -> np.ndarray:
-    """Smallest names crowd near zero; mixed again they spread over the ranges."""
-    return B.mix(names + B.U64(0x632BE59BD9B4E019))
-
-
-def _texts(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct texts of a block by hash (two halves), their least ids, and the
-    text that each document has."""
-    both = np.array([xxhash.xxh3_128_intdigest(block.text(i)) for i in range(len(block))], object)
-    high, low = (both >> 64).astype(B.U64), (both & ((1 << 64) - 1)).astype(B.U64)
-    order = np.lexsort((block.ids, low, high))
-    new = np.ones(len(order), bool)
-    new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    firsts = order[new]
-    return high[firsts], low[firsts], block.ids[firsts], of
-
-
-def _copies(block: B.Block, answer: dict, ranges: int) -> np.ndarray:
-    """Which documents have their whole text in one with a smaller id."""
-    high, _, least, of = _texts(block)
-    cut = B.cuts(high, COPY_RANGES)
-    parts = [B.unpack_bits(answer[ranges + i]) for i in range(COPY_RANGES) if cut[i + 1] > cut[i]]
-    before = np.concatenate(parts) if parts else np.zeros(0, bool)
-    return before[of] | (block.ids > least[of])
-
-
-def _live(block: B.Block, answer: dict, size: int, ranges: int):
-    at, names, least = _positions(block, size)
-    if len(at):
-        copy = _copies(block, answer, ranges)[np.searchsorted(block.offsets, at, "right") - 1]
-        change = np.concatenate([[True], least[1:] != least[:-1]])
-        flags = B.sketch_flags(_cell(least[change]), answer, ranges)
-        at = at[flags[np.cumsum(change) - 1] & ~copy]
-    pair = _pairs(names, at, size) if len(at) else np.zeros(0, B.U64)
-    own = block.ids[np.searchsorted(block.offsets, at, "right") - 1]
-    order = np.lexsort((own, pair))
-    new = np.ones(len(order), bool)
-    new[1:] = pair[order][1:] != pair[order][:-1]
-    firsts = order[new]
-    return at, own, order, new, pair[firsts], own[firsts]
+
+def _bytes(block: B.Block) -> tuple[np.ndarray, np.ndarray]:
+    return block.data, block.offsets
 
 
 def remove_repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,70 +50,75 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id
     A byte goes if a string of ``size`` bytes covers it that also starts in a
     document with a smaller id."""
     packed = B.pack_blocks(docs, id_col, text_col)
-    total = max(B.raw_size(packed), 1)
-    sample_ranges, pair_ranges = B.ranges_for(total * 2 / 27), B.ranges_for(total / 6)
-
-    def sample(block, _):
-        yield from B.sketch_load(_cell(_sample(_positions(block, size)[2])), sample_ranges)
-        high, low, least, _ = _texts(block)
-        cut = B.cuts(high, COPY_RANGES)
-        for i in range(COPY_RANGES):
-            a, b = cut[i], cut[i + 1]
-            if b > a:
-                yield sample_ranges + i, (B.pack_sorted(high[a:b]), B.pack_array(low[a:b]), B.pack_array(least[a:b]))
-
-    def count(bucket, loads):
-        if bucket < sample_ranges:
-            return B.sketch_reply(bucket, loads)
-        got = B.grouped_min([B.unpack_sorted(x[0]) for x in loads], [B.unpack_array(x[2], np.int64) for x in loads], [B.unpack_array(x[1], B.U64) for x in loads])
-        return [B.pack_bits(x) for x in got]
-
-    named = B.merge(B.send(packed, sample), count, "names")
-
-    def double(block, ans):
-        *_, pair, least = _live(block, ans[0], size, sample_ranges)
-        cut = B.cuts(pair, pair_ranges)
-        for i in range(pair_ranges):
-            a, b = cut[i], cut[i + 1]
-            if b > a:
-                yield i, (B.pack_sorted(pair[a:b]), B.pack_array(least[a:b]))
-
-    def rank(_, loads):
-        got = B.grouped_min([B.unpack_sorted(x[0]) for x in loads], [B.unpack_array(x[1], np.int64) for x in loads])
-        return [B.pack_bits(x) for x in got]
-
-    ranked = B.merge(B.send(B.with_answers(packed, named), double, 1), rank, "ranks")
+    gram = max(1, size // 2)
+    names = max(B.raw_size(packed) * 2 / (size - gram + 2), 1)
+    ranges = (B.ranges_for(names), B.ranges_for(names / 2), B.ranges_for(names))
+    task = repeats.Task(_bytes, size, gram, 1, NAME_BITS, ranges)
 
     def finish(batches):
+        B.lean()
         for batch in batches:
-            for _, data, ans in B.rows_of(batch, 2):
-                yield _result(B.Block(data), ans)
-
-    def _result(block: B.Block, ans: list) -> pa.RecordBatch:
-        at, own, order, new, pair, least = _live(block, ans[0], size, sample_ranges)
-        cut = B.cuts(pair, pair_ranges)
-        parts = [B.unpack_bits(ans[1][i]) for i in range(pair_ranges) if cut[i + 1] > cut[i]]
-        before = np.concatenate(parts) if parts else np.zeros(0, bool)
-        group_of = np.empty(len(order), np.int64)
-        group_of[order] = np.cumsum(new) - 1
-        hit = at[before[group_of] | (own > least[group_of])] if len(order) else at
-        change = np.zeros(len(block.data) + 1, np.int32)
-        change[hit] += 1
-        change[hit + size] -= 1
-        gone = np.cumsum(change[:-1]) > 0
-        lengths = np.diff(block.offsets)
-        gone |= np.repeat(_copies(block, ans[0], sample_ranges) & (lengths >= size), lengths)
-        first = np.zeros(len(block.data) + 1, bool)
-        first[block.offsets] = True
-        opens = gone & (first[:-1] | ~np.concatenate([[False], gone[:-1]]))
-        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[block.offsets]).astype(np.int64)
-        n, removed, spans = np.diff(block.offsets), sums(gone), sums(opens)
-        rest = block.data[~gone].tobytes()
-        ends = np.concatenate([[0], np.cumsum(n - removed)])
-        kept = [rest[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([block.id_array(), pa.array(n), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return B.with_answers(packed, named, ranked).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+            for _, data, answers in B.rows_of(batch, 3):
+                block = B.Block(data)
+                yield _result(block, repeats.covered(block, task, answers))
+
+    return repeats.settle(packed, task).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def _result(block: B.Block, gone: np.ndarray) -> pa.RecordBatch:
+    first = np.zeros(len(block.data) + 1, bool)
+    first[block.offsets] = True
+    opens = gone & (first[:-1] | ~np.concatenate([[False], gone[:-1]]))
+    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[block.offsets])
+    n, removed, spans = np.diff(block.offsets), sums(gone), sums(opens)
+    rest, ends = block.data[~gone].tobytes(), np.concatenate([[0], np.cumsum(n - removed)])
+    kept = [rest[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([block.id_array(), pa.array(n), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def doubled_ranks(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row, id, at, rank`` of the positions whose ``size`` bytes occur elsewhere
+    too: equal ranks mean equal bytes. ``row`` numbers the rows of ``docs``."""
+
+    def positions(batches):
+        for b in batches:
+            lengths, data = B.arrow_bytes(b.column(2))
+            ends = np.cumsum(lengths)
+            for k, (end, n) in enumerate(zip(ends.tolist(), lengths.tolist(), strict=True)):
+                m = n - FIRST + 1
+                if n < size:
+                    continue
+                name, own = np.zeros(m, np.int64), data[end - n : end].astype(np.int64)
+                for j in range(FIRST):
+                    name = name << 8 | own[j : j + m]
+                for a in range(0, m, 1 << 16):
+                    c = min(a + (1 << 16), m) - a
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(c, b.column(0)[k].as_py())), pa.array([b.column(1)[k].as_py()] * c, pa.int64()), pa.array(np.arange(a, a + c)), pa.array(np.full(c, n)), pa.array(name[a : a + c])], ["row", "id", "at", "n", "rank"])
+
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "texts")
+    p = stash(rows.mapInArrow(positions, "row long, id long, at long, n long, rank long"), "positions")
+    have = FIRST
+    while have < size:
+        step = min(have, size - have)  # the last two names may overlap
+        on = p.select("row", (F.col("at") - step).alias("at"), F.col("rank").alias("then"))
+        pairs = p.join(on, ["row", "at"]).filter(F.col("at") <= F.col("n") - have - step)
+        # A rank is the least place of its pair in the sorted order; it only has to
+        # tell pairs apart, so partitions of the range sort number on their own.
+        have += step
+        sums = pairs.groupBy("rank", "then").agg(F.count(F.lit(1)).alias("many"))
+        place = sums.repartitionByRange("rank", "then").sortWithinPartitions("rank", "then").select("rank", "then", "many", F.monotonically_increasing_id().alias("new"))
+        # What is unique goes, and with it, by the next join, all that it is a part of.
+        ranked = pairs.join(stash(place, "ranks").filter("many > 1"), ["rank", "then"])
+        p = stash(ranked.select("row", "id", "at", "n", F.col("new").alias("rank")), "positions")
+    return p.select("row", "id", "at", "rank")
+
+
+def repeated_positions(docs: DataFrame, size: int = 50) -> DataFrame:
+    """``id, at`` of the positions whose ``size`` bytes also start in a document
+    with a smaller id, by prefix doubling."""
+    p = doubled_ranks(docs, size)
+    least = p.groupBy("rank").agg(F.min("id").alias("least"))
+    return p.join(least, "rank").filter(F.col("least").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("least")))).select("id", "at")
 
 
 def digest(docs: DataFrame) -> DataFrame:
