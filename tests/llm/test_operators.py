@@ -130,29 +130,80 @@ def test_index_and_proximity(spark):
     assert {r.doc_id for r in decontaminate.phrase_matches(docs, anchors, slop=2).collect()} == {1, 2}
 
 
-def test_lm_base(spark):
+def lm_corpus():
     r = random.Random(4)
-    docs = [(i, " ".join(r.choice(["The", "the", "cat", "sat", "Éa", "q%d" % r.randrange(40)]) for _ in range(r.randrange(60)))) for i in range(60)] + [(100, None), (None, "the cat"), (5, "the\x0bsat\tx")]
+    docs = [(i, " ".join(r.choice(["The", "the", "cat", "sat", "Éa", "q%d" % r.randrange(40)]) for _ in range(r.randrange(60)))) for i in range(60)]
+    return docs + [(100, None), (None, "the cat"), (5, "the\x0bsat\tx")]
+
+
+def lm_tokens(docs):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    toks = [[w.decode() for w in (t or "").encode().lower().split()] + ["<end>"] for _, t in docs]
-    c = collections.Counter(x for (i, _), t in zip(docs, toks) if not held(i) for x in t)
-    n, v = sum(c.values()), len(c)
-    want = sorted(((i, held(i), len(t), sum(x in c for x in t), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), 6)) for (i, _), t in zip(docs, toks)), key=repr)
-    out = lm.score(frame(spark, docs))
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out.collect()), key=repr) == want
-    assert all(math.isfinite(r.score) for r in out.collect())
+    return [(i, held(i), [w.decode() for w in (t or "").encode().lower().split()] + ["<end>"]) for i, t in docs]
+
+
+class BruteModel:
+    """The interpolated model by dictionaries, without a filter."""
+
+    def __init__(self, docs):
+        train = [t for _, held, t in lm_tokens(docs) if not held]
+        self.one = collections.Counter(w for t in train for w in t)
+        self.two = collections.Counter(p for t in train for p in zip(["<s>", *t], t))
+        self.three = collections.Counter(p for t in train for p in zip(["<s>", *t], t, t[1:]))
+        self.n, self.v = sum(self.one.values()), len(self.one)
+
+    def p1(self, w):
+        return (self.one[w] + 0.1) / (self.n + 0.1 * (self.v + 1))
+
+    def p(self, w, v, u):
+        down = lambda c: max([x for x in lm.DOWN.tolist() if x <= c])
+        up = lambda c: min([x for x in lm.DOWN.tolist() if x > c]) - 1 if c else 0
+        c = self.one["<end>"] if v == "<s>" else self.one[v]
+        p2 = (down(self.two[v, w]) + 4 * self.p1(w)) / (c + 4)
+        if u is None:
+            return p2
+        h = up(self.two[u, v])
+        return (min(down(self.three[u, v, w]), h) + 4 * p2) / (h + 4)
+
+    def score(self, t):
+        padded = [None, "<s>", *t]
+        return sum(math.log10(self.p(w, padded[k + 1], padded[k])) for k, w in enumerate(t))
+
+
+@pytest.mark.parametrize("raw", [0, 1 << 30])
+def test_lm_scores(spark, monkeypatch, raw):
+    monkeypatch.setattr(lm, "BROADCAST_RAW", raw)
+    docs, model = lm_corpus(), BruteModel(lm_corpus())
+    want = sorted(((i, held, len(t), sum(w in model.one for w in t), model.n, round(sum(math.log10(model.p1(w)) for w in t), 6), round(model.score(t), 6)) for i, held, t in lm_tokens(docs)), key=repr)
+    got = lm.score(frame(spark, docs), entry_bits=4096)  # hardly any false hits
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got.collect()), key=repr) == want
     assert lm.score(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_lm_both_ways_agree(spark, monkeypatch):
+    one = rows(lm.score(frame(spark, lm_corpus())))
+    monkeypatch.setattr(lm, "BROADCAST_RAW", 0)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 500)
+    assert rows(lm.score(frame(spark, lm_corpus()))) == one
+
+
+def test_lm_sums_stay_below_one():
+    model = BruteModel(lm_corpus())
+    words = [*model.one, "<unknown>"]
+    for u, v in [*model.two][:60]:
+        if v != "<end>":
+            total = sum(model.p(w, v, u) for w in words)
+            assert 0.5 < total <= 1 + 1e-9
+
+
 def test_log_filter():
     g = np.random.default_rng(1)
-    keys, counts = g.integers(0, 2**62, 20000, dtype=np.uint64), g.integers(2, 5000, 20000)
-    f = lm.Filter({0: lm.build_segment(keys, counts)}, 1)
-    got, want = f.levels(keys), np.log2(counts).astype(int)
+    keys, counts = g.integers(0, 2**62, 20000, dtype=np.uint64), g.integers(1, 5000, 20000)
+    segment = lm.build_segment(keys, counts)
+    got, want = lm.probe_segment(segment, keys).astype(int), np.searchsorted(lm.DOWN, counts, "right") - 1
     assert (got >= want).all() and (got == want).mean() > 0.95
-    assert (f.levels(g.integers(2**62, 2**63, 20000, dtype=np.uint64)) == 0).mean() > 0.95
-    small = lm.Filter({0: lm.fold(lm.build_segment(keys, counts), 2)}, 1)
-    assert (small.levels(keys) >= want).all()
+    assert (lm.DOWN[want] <= counts).all() and (lm.UP[want] >= counts).all()
+    assert (lm.probe_segment(segment, g.integers(2**62, 2**63, 20000, dtype=np.uint64)) == 0).mean() > 0.95
+    assert (lm.probe_segment(lm.build_segment(keys[:0], counts[:0]), keys) == 0).all()
 
 
 def shingles(t, n):
