@@ -1,11 +1,17 @@
-"""Benchmark decontamination over a positional inverted index.
+"""Benchmark decontamination over a stored positional inverted index.
 
-The index maps a term to its postings ``(document, position)``. A phrase is
-looked up from its rarest term: the postings of that term are shifted by the
-term's offset in the phrase, which gives candidate starts, and the other terms'
-positions are intersected with them at their own offsets. Only terms that occur
-in the benchmark are counted, and only the postings of each window's rarest term
-are ever exploded, so frequent words ("the") never become rows of a join.
+``build_index`` writes the postings of the benchmark's terms: a row for each place
+of such a term in the documents, with the document's key, and one closing row a
+document with its number of words. All that follows reads postings, never texts:
+
+1. Document frequencies come from the postings; a window's terms are ranked by
+   them. A window with a term that no document has cannot occur.
+2. The postings of a window's rarest term, less the term's offset, are candidate
+   starts. Lists of the other terms are intersected with them at their offsets,
+   the second rarest first, then the rest: an equi-join on document, place and
+   term, so nothing longer than a posting is ever shuffled.
+3. Proximity: a window's terms all within ``window + slop`` consecutive words, in
+   any order. The stretch must hold the rarest term, so its postings lead here too.
 
 Defined results
     null or wordless text: no words, no hits, ``contaminated`` false.
@@ -15,7 +21,8 @@ Defined results
     computed from that row's text. A null ``doc_id`` is a value like another.
     repeated item ids: their windows are pooled under that id.
     A null ``item_id`` never counts.
-    extra columns are ignored.
+    texts of any length: a posting a word. Extra columns are ignored, or kept as
+    they are where rows are filtered; their names may be anything.
 """
 
 from __future__ import annotations
@@ -29,11 +36,14 @@ from boxwood.llm.common import lower_ascii, row_key, stash
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: A word that no text holds; one posting of it closes each document.
-CLOSE = "\x00"
+CLOSE, CLOSE_ID = "\x00", -1
+
+#: A table is broadcast if it has at most so many rows and bytes (8 a number, the
+#: length of strings); beyond, Catalyst shuffles both sides.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 
-#: Broadcast a benchmark-side table up to this many rows (each row is a term or
-#: a window of at most ``window`` words); beyond it Catalyst shuffles both sides.
-BROADCAST_ROWS = 500_000
+#: Extra words that a proximity match may spread over.
+SLOP = 2
 
 
 def words(col: Column) -> Column:
@@ -42,136 +52,173 @@ def words(col: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(col, F.lit(""))), BETWEEN), "")
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def windows_of(items: DataFrame, window: int = 8) -> DataFrame:
-    """``(item_id, win)``: every window of every item, once per item."""
-    w = items.select("item_id", words(F.col("text")).alias("w")).filter((F.size("w") > 0) & F.col("item_id").isNotNull())
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
-    return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, window))).alias("win")).distinct()
-
-
-def build_index(docs: DataFrame, buckets: int = 64) -> DataFrame:
-    """The whole index as a table ``(term, salt, doc_id, positions)``, positions
-    from 1, ready to be written partitioned. ``salt`` spreads the documents of a
-    frequent term; a posting list is per document, so no row grows with the corpus."""
-    p = docs.select("doc_id", row_key().alias("k"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return (
-        p.groupBy("term", F.pmod("k", F.lit(buckets)).cast("int").alias("salt"), "k", "doc_id")
-        .agg(F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))
-        .select("term", "salt", "doc_id", "positions")
-    )
-
-
-def document_frequency(docs: DataFrame, vocab: DataFrame, vocab_rows: int) -> DataFrame:
-    """Occurrences in ``docs`` of each term of ``vocab``: partial counts are
-    combined before the shuffle, so a frequent term is one row per task."""
-    t = docs.select(F.explode_outer(words(F.col("text"))).alias("term"))
-    return t.join(_sized(vocab, vocab_rows), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def anchored_windows(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """``(wid, win, off, term)``: distinct windows with their rarest term and its
-    offset. A window with a term that no document has cannot occur and goes."""
-    uniq = wins.select("win").distinct().withColumn("wid", F.xxhash64("win"))
-    terms = uniq.select("wid", "win", F.posexplode("win").alias("off", "term"))
-    vocab = terms.select("term").distinct()
-    df = document_frequency(docs, vocab, vocab.count())
-    ranked = terms.join(df, "term").groupBy("wid", "win").agg(F.min(F.struct("df", "off", "term")).alias("rarest"), F.count(F.lit(1)).alias("known"))
-    return ranked.filter(F.col("known") == F.size("win")).select("wid", "win", "rarest.off", "rarest.term")
-
-
-def phrase_matches(docs: DataFrame, anchors: DataFrame, slop: int = 0, close: bool = False) -> DataFrame:
-    """``(k, doc_id, wid, start, n)``: where windows occur.
-
-    Candidates are the anchor term's postings less its offset; the remaining
-    terms are intersected at their offset-adjusted positions. With ``slop`` > 0,
-    proximity matches are returned instead: all terms of the window within
-    ``slop`` extra words around the anchor, in any order (``start`` is then where
-    the stretch begins). ``close`` adds a row for each document with ``wid`` null
-    and its number of words as ``start``.
-    """
-    near = anchors.select("wid", "win", "off", "term", F.array_join("win", " ").alias("phrase"), F.size("win").alias("n"))
-    rows = anchors.count()
-    w = words(F.col("text"))
-    if close:
-        row = docs.sparkSession.createDataFrame([(None, [CLOSE], 0, CLOSE, CLOSE, 1)], near.schema)
-        near, w = near.union(row), F.array_append(w, CLOSE)
-    p = docs.select(row_key().alias("k"), "doc_id", w.alias("w"))
-    # No lambda up to the join: the scan, the explode, the probe and the comparison
-    # then share one generated loop, and "w" is a reference rather than a copy per word.
-    p = p.select("k", "doc_id", "w", F.posexplode_outer("w").alias("pos", "term"))
-    start, n = F.col("pos") - F.col("off") + 1, F.col("n")
-    c = p.join(_sized(near, rows), "term")
-    if slop:
-        a = F.greatest(start - slop, F.lit(1))
-        near_by = F.size(F.array_except("win", F.slice("w", a, n + 2 * slop))) == 0
-        return c.filter(near_by).select("k", "doc_id", "wid", a.alias("start"), "n").distinct()
-    c = c.filter((start >= 1) & (start + n - 1 <= F.size("w")))
-    c = c.filter(F.array_join(F.slice("w", F.greatest(start, F.lit(1)), n), " ") == F.col("phrase"))
-    found = c.select("k", "doc_id", "wid", F.when(F.col("wid").isNull(), F.col("pos")).otherwise(start).alias("start"), "n")
-    return found if close else found.distinct()
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2) -> DataFrame:
+def _sized(df: DataFrame) -> DataFrame:
+    """``df``, a stored table, to be broadcast if its measured size allows it."""
+    size = sum((F.octet_length(c) if kind == "string" else F.lit(8) for c, kind in df.dtypes), F.lit(0))
+    row = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(df) if row[0] <= BROADCAST_ROWS and (row[1] or 0) <= BROADCAST_BYTES else df
+
+
+class Windows:
+    """Every window of every item, in three stored tables: ``terms`` (``term, tid``),
+    ``places`` (``wid, n, off, tid``) and ``owners`` (``wid, item_id``)."""
+
+    def __init__(self, items: DataFrame, window: int = 8):
+        w = items.select("item_id", words(F.col("text")).alias("w")).filter((F.size("w") > 0) & F.col("item_id").isNotNull())
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
+        owned = stash(w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, window))).alias("win")).distinct(), "owned")
+        number = F.monotonically_increasing_id()  # fixed by writing it
+        unique = stash(owned.select("win").distinct().select("win", number.alias("wid")), "windows")
+        self.owners = stash(owned.join(unique, "win").select("wid", "item_id"), "owners")
+        each = unique.select("wid", F.size("win").alias("n"), F.posexplode("win").alias("off", "term"))
+        self.terms = stash(each.select("term").distinct().select("term", number.alias("tid")), "terms")
+        self.places = stash(each.join(self.terms, "term").select("wid", "n", "off", "tid"), "places")
+
+
+def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(k, doc_id, pos, tid)``: each place (from 0) of each of ``terms`` in
+    ``docs``, written to the shared folder; and for each document a row of
+    ``CLOSE_ID`` whose ``pos`` is its number of words."""
+    spark = docs.sparkSession
+    known = _sized(terms.union(spark.createDataFrame([(CLOSE, CLOSE_ID)], terms.schema)))
+    # No lambda up to the join: the scan, the explode and the probe share one generated loop.
+    each = docs.select(row_key().alias("k"), "doc_id", F.posexplode(F.array_append(words(F.col("text")), CLOSE)).alias("pos", "term"))
+    return stash(each.join(known, "term").select("k", "doc_id", "pos", "tid"), "postings")
+
+
+def ranked_places(index: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` of the windows that can occur, with ``r``: 0 for the rarest term.
+    Counting combines within tasks first, so a frequent term is a row a task."""
+    df = index.filter(F.col("tid") != CLOSE_ID).groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
+    known = places.join(df, "tid").groupBy("wid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "off", "tid"))).alias("t"))
+    return stash(known.filter(F.size("t") == F.col("n")).select("wid", "n", F.posexplode("t").alias("r", "t")).select("wid", "n", "r", "t.off", "t.tid"), "ranked")
+
+
+def _leads(index: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``(k, doc_id, wid, n, start)``: where a window would start if its rarest term
+    stands at a posting."""
+    rarest = _sized(ranked.filter("r = 0").select("wid", "n", "off", "tid"))
+    found = index.filter(F.col("tid") != CLOSE_ID).join(rarest, "tid").select("k", "doc_id", "wid", "n", (F.col("pos") - F.col("off")).alias("start"))
+    return stash(found.distinct(), "leads")
+
+
+def _of_leads(index: DataFrame, leads: DataFrame) -> DataFrame:
+    """The postings of the documents that have leads."""
+    some = _sized(stash(leads.select("k", F.col("doc_id").alias("id")).distinct(), "documents"))
+    return stash(index.filter(F.col("tid") != CLOSE_ID).join(some, (index.k == some.k) & index.doc_id.eqNullSafe(some.id), "left_semi").distinct(), "local")
+
+
+def phrase_matches(index: DataFrame, ranked: DataFrame, leads: DataFrame, local: DataFrame) -> DataFrame:
+    """``(k, doc_id, wid, n, start)`` of the windows that occur."""
+    lists = _sized(ranked.filter("r > 0").select("wid", "r", "off", "tid"))
+    at = local.select(F.col("k").alias("pk"), F.col("doc_id").alias("id"), "pos", F.col("tid").alias("ptid"))
+    got = leads.filter("start >= 0")
+    for first, last in ((1, 1), (2, None)):
+        some = lists.filter(F.col("r") >= first) if last is None else lists.filter(F.col("r").between(first, last))
+        wanted = got.join(some, "wid")
+        same = (F.col("k") == F.col("pk")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("start") + F.col("off") == F.col("pos")) & (F.col("tid") == F.col("ptid"))
+        need = (F.least(F.col("n"), F.lit(last + 1)) if last else F.col("n")) - first
+        met = wanted.join(at, same).groupBy("k", "doc_id", "wid", "n", "start").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") == need).drop("met")
+        got = stash(met.unionByName(got.filter(F.col("n") <= first)), "phrases")  # windows that have no further term
+    return got
+
+
+def proximity_matches(ranked: DataFrame, leads: DataFrame, local: DataFrame, slop: int = SLOP) -> DataFrame:
+    """``(k, doc_id, wid)``: all terms of the window within ``n + slop`` consecutive
+    words around a posting of its rarest term."""
+    rare = _sized(ranked.filter("r = 0").select("wid", F.col("off").alias("lead")))
+    reach = F.col("n") + slop
+    here = leads.join(rare, "wid").select("k", "doc_id", "wid", "n", (F.col("start") + F.col("lead")).alias("at"))
+    # Places are cut into cells as long as the reach, so a term's places far from a
+    # lead never meet it, however often a document has the term.
+    cells = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("at") / reach) + d))
+    near = here.join(_sized(ranked.select("wid", "tid").distinct()), "wid").select("*", cells.alias("cell"))
+    spans = _sized(ranked.select("n", "tid").distinct())
+    at = local.join(spans, "tid").select(F.col("k").alias("pk"), F.col("doc_id").alias("id"), F.col("tid").alias("ptid"), F.col("n").alias("pn"), "pos", F.floor(F.col("pos") / reach).alias("pcell"))
+    same = (F.col("k") == F.col("pk")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tid") == F.col("ptid")) & (F.col("n") == F.col("pn")) & (F.col("cell") == F.col("pcell"))
+    met = near.join(at, same & (F.abs(F.col("pos") - F.col("at")) < reach))
+    first = F.greatest(F.col("pos"), F.col("at")) - reach + 1
+    stretch = met.select("k", "doc_id", "wid", "tid", F.explode(F.sequence(first, F.least("pos", "at"))).alias("s")).distinct()
+    full = stretch.groupBy("k", "doc_id", "wid", "s").agg(F.count(F.lit(1)).alias("met"))
+    need = ranked.groupBy("wid").agg(F.count_distinct("tid").alias("need"))
+    return full.join(need, "wid").filter("met = need").select("k", "doc_id", "wid").distinct()
+
+
+def _of(docs: DataFrame, wins: Windows) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    index = build_index(docs.select("doc_id", "text"), wins.terms)
+    ranked = ranked_places(index, wins.places)
+    leads = _leads(index, ranked)
+    return index, ranked, leads, _of_leads(index, leads)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, slop: int = SLOP) -> DataFrame:
     """Per document: ``doc_id, n_words, n_hit, n_items, items_sha256,
-    contaminated`` (at least ``min_items`` items have an occurring window)."""
-    docs = docs.select("doc_id", "text")
-    wins = windows_of(benchmark.select("item_id", "text"), window)
-    anchors = stash(anchored_windows(docs, wins), "anchors")
-    found = stash(phrase_matches(docs, anchors, close=True), "matches")
-    hits = found.filter(F.col("wid").isNotNull()).distinct()
+    contaminated`` (at least ``min_items`` items have an occurring window), and
+    ``n_near``: items of which no window occurs, but one does by proximity."""
+    wins = Windows(benchmark, window)
+    index, ranked, leads, local = _of(docs, wins)
+    hits = phrase_matches(index, ranked, leads, local)
+    by_item = stash(hits.select("k", "doc_id", "wid").distinct().join(_sized(wins.owners), "wid").select("k", "doc_id", "item_id").distinct(), "items")
     covered = (
         hits.select("k", "doc_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at"))
         .distinct()
         .groupBy("k", "doc_id")
         .agg(F.count(F.lit(1)).alias("n_hit"))
     )
-    owners = wins.select(F.xxhash64("win").alias("wid"), "item_id")
-    items = (
-        hits.select("k", "doc_id", "wid").distinct().join(owners, "wid").select("k", "doc_id", F.col("item_id").cast("string").alias("item")).distinct()
-        .groupBy("k", "doc_id")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-    )
-    got = covered.join(items, (covered.k == items.k) & covered.doc_id.eqNullSafe(items.doc_id)).select(covered.k.alias("fk"), covered.doc_id.alias("fid"), "n_hit", "items")
-    base = found.filter(F.col("wid").isNull()).select("k", "doc_id", F.col("start").cast("long").alias("n_words"))
+    items = by_item.groupBy("k", "doc_id").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
+    # Only leads of items that a document does not have exactly can be near ones.
+    exact = by_item.select(F.col("k").alias("ek"), F.col("doc_id").alias("eid"), F.col("item_id").alias("eitem"))
+    owners, not_exact = _sized(wins.owners), (F.col("k") == F.col("ek")) & F.col("doc_id").eqNullSafe(F.col("eid")) & (F.col("item_id") == F.col("eitem"))
+    others = stash(leads.join(owners, "wid").join(exact, not_exact, "left_anti"), "others")
+    near = proximity_matches(ranked, others.drop("item_id").distinct(), local, slop).join(owners, "wid").join(exact, not_exact, "left_anti")
+    near = near.select("k", "doc_id", "item_id").distinct().groupBy("k", "doc_id").agg(F.count(F.lit(1)).alias("n_near"))
+    parts = [covered.select("k", "doc_id", "n_hit", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("long").alias("n_near")), items.select("k", "doc_id", F.lit(None).cast("long").alias("n_hit"), "items", F.lit(None).cast("long").alias("n_near")), near.select("k", "doc_id", F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"), "n_near")]
+    got = parts[0].union(parts[1]).union(parts[2]).groupBy(F.col("k").alias("fk"), F.col("doc_id").alias("fid")).agg(*[F.max(c).alias(c) for c in ("n_hit", "items", "n_near")])
+    base = index.filter(F.col("tid") == CLOSE_ID).select("k", "doc_id", F.col("pos").cast("long").alias("n_words"))
     n_items = F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long")
-    return base.join(got, (base.k == got.fk) & base.doc_id.eqNullSafe(got.fid), "left").select(
+    return base.join(stash(got, "found"), (F.col("k") == F.col("fk")) & F.col("doc_id").eqNullSafe(F.col("fid")), "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         n_items.alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (n_items >= min_items).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
     """``docs`` (``doc_id``, ``text`` and any other columns) without the rows that
-    hold a window of ``min_items`` items or more: one passage is enough. What is joined back is one small row per contaminated text."""
-    source = docs.select("doc_id", "text")
-    wins = windows_of(benchmark.select("item_id", "text"), window)
-    anchors = stash(anchored_windows(source, wins), "anchors")
-    hits = stash(phrase_matches(source, anchors).select("k", "doc_id", "wid").distinct(), "matches")
-    owners = wins.select(F.xxhash64("win").alias("wid"), "item_id")
-    items = hits.join(owners, "wid").select("k", "doc_id", "item_id").distinct().groupBy("k", "doc_id").agg(F.count(F.lit(1)).alias("items"))
-    bad = items.filter(F.col("items") >= min_items).select(F.col("k").alias("_k"), F.col("doc_id").alias("_id"))
-    own = docs.withColumn("_own", row_key())
-    return own.join(bad, (F.col("_own") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
-
-
-SQL = r"""
+    hold a window of ``min_items`` items or more: one passage is enough. What is
+    joined back is one small row per contaminated text."""
+    wins = Windows(benchmark, window)
+    hits = phrase_matches(*_of(docs, wins))
+    items = hits.select("k", "doc_id", "wid").distinct().join(_sized(wins.owners), "wid").select("k", "doc_id", "item_id").distinct().groupBy("k", "doc_id").agg(F.count(F.lit(1)).alias("items"))
+    bad = _sized(stash(items.filter(F.col("items") >= min_items).select(F.col("k").alias("bk"), F.col("doc_id").alias("bid")), "contaminated"))
+    # One struct holds the row, so no column of it can clash with ours.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("k"), F.col("doc_id").alias("id"))
+    return own.join(bad, (F.col("k") == F.col("bk")) & F.col("id").eqNullSafe(F.col("bid")), "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
-win AS (SELECT DISTINCT item_id, w[i:i+7] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+win AS MATERIALIZED (SELECT DISTINCT item_id, w[i:i+7] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 short AS (SELECT DISTINCT len(win) AS n FROM win),
 grams AS (SELECT k, i, n, w[i:i+n-1] AS win FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, short WHERE len(w) >= n)),
-hits AS (SELECT g.k, g.i, g.n, win.item_id FROM grams g JOIN win USING (win)),
+hits AS MATERIALIZED (SELECT g.k, g.i, g.n, win.item_id FROM grams g JOIN win USING (win)),
 cov AS (SELECT k, count(DISTINCT pos) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY k),
-its AS (SELECT k, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY k)
+its AS (SELECT k, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY k),
+wt AS MATERIALIZED (SELECT DISTINCT item_id, win, len(win) AS n, unnest(win) AS term FROM win),
+post AS MATERIALIZED (SELECT k, pos, w[pos] AS term FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS pos FROM d) WHERE w[pos] IN (SELECT term FROM wt)),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+rare AS (SELECT item_id, win, n, arg_min(term, df) AS term FROM wt JOIN df USING (term) GROUP BY ALL),
+lead AS (SELECT p.k, r.item_id, r.win, r.n, p.pos AS at FROM rare r JOIN post p USING (term) WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.k = p.k AND h.item_id = r.item_id)),
+met AS (SELECT DISTINCT l.k, l.item_id, l.win, wt.term, unnest(range(greatest(p.pos, l.at) - l.n - {SLOP} + 1, least(p.pos, l.at) + 1)) AS s
+  FROM lead l JOIN wt ON wt.item_id = l.item_id AND wt.win = l.win JOIN post p ON p.k = l.k AND p.term = wt.term AND abs(p.pos - l.at) < l.n + {SLOP}),
+full_ AS (SELECT k, item_id, win FROM met GROUP BY k, item_id, win, s HAVING count(*) = len(list_distinct(win))),
+near AS (SELECT k, count(DISTINCT item_id) AS n_near FROM full_ GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
-  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated
-FROM d LEFT JOIN cov USING (k) LEFT JOIN its USING (k)
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN cov USING (k) LEFT JOIN its USING (k) LEFT JOIN near USING (k)
 """

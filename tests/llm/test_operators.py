@@ -101,7 +101,12 @@ def brute_decontaminate(docs, items, size=8):
                     hit |= set(range(p, p + len(win)))
                     found |= ids
         names = ",".join(sorted(map(str, found)))
-        out.append((i, len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), len(found) >= 2))
+        near = set()
+        for win, ids in wins.items():
+            reach = len(win) + decontaminate.SLOP
+            if any(set(win) <= set(w[max(p, 0) : p + reach]) for p in range(-reach, len(w))):
+                near |= ids
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), len(found) >= 2, len(near - found)))
     return out
 
 
@@ -109,10 +114,11 @@ def test_decontaminate(spark):
     r = random.Random(2)
     vocab = ["the", "of", "Ä", "b2", "日本", "x", "y"]
     items = [(1, " ".join(r.choice(vocab) for _ in range(30))), (2, "the of x"), (10, "The, OF! x"), (3, None), (4, " .. "), (None, "y y y"), (5, " ".join(r.choice(vocab) for _ in range(12)))]
-    docs = [(1, "pre " + items[0][1].upper().replace("Ä", "Ä") + " post"), (2, items[6][1]), (2, items[6][1]), (3, None), (4, ""), (None, "a the of x b the of x"), (6, " ".join(r.choice(vocab) for _ in range(400))), (7, items[0][1][:40])]
+    docs = [(1, "pre " + items[0][1].upper().replace("Ä", "Ä") + " post"), (2, items[6][1]), (2, items[6][1]), (3, None), (4, ""), (None, "a the of x b the of x"), (6, " ".join(r.choice(vocab) for _ in range(400))), (7, items[0][1][:40]), (8, "q r x q of z the r the b2 日本 of")]
     bench = spark.createDataFrame([(i, t, 3) for i, t in items], "item_id long, text string, doc_id int")
     assert rows(decontaminate.decontaminate(frame(spark, docs), bench)) == sorted(brute_decontaminate(docs, items), key=repr)
     want = [d for d, b in zip(docs, brute_decontaminate(docs, items)) if not b[3]]
+    assert any(b[-1] for b in brute_decontaminate(docs, items))
     assert any(b[3] == 1 for b in brute_decontaminate(docs, items))
     kept = decontaminate.drop_contaminated(frame(spark, docs), bench)
     assert kept.columns == frame(spark, docs).columns and rows(kept.select("doc_id", "text")) == sorted(want, key=repr)
@@ -121,13 +127,17 @@ def test_decontaminate(spark):
 
 
 def test_index_and_proximity(spark):
-    docs = frame(spark, [(1, "a b c a"), (2, "c x b y a"), (3, None)])
-    got = {(r.term, r.doc_id): r.positions for r in decontaminate.build_index(docs).collect()}
-    assert got["a", 1] == [1, 4] and got["a", 2] == [5] and ("x", 1) not in got
-    wins = decontaminate.windows_of(spark.createDataFrame([(9, "a b c")], "item_id long, text string"))
-    anchors = decontaminate.anchored_windows(docs.select("doc_id", "text"), wins)
-    assert {r.doc_id for r in decontaminate.phrase_matches(docs, anchors).collect()} == {1}
-    assert {r.doc_id for r in decontaminate.phrase_matches(docs, anchors, slop=2).collect()} == {1, 2}
+    docs = frame(spark, [(1, "a b c a"), (2, "c x b y a"), (3, None), (4, "a b x x c")])
+    wins = decontaminate.Windows(spark.createDataFrame([(9, "a b c")], "item_id long, text string"))
+    index = decontaminate.build_index(docs, wins.terms)
+    name = {r.tid: r.term for r in wins.terms.collect()} | {decontaminate.CLOSE_ID: "end"}
+    assert {(r.doc_id, name[r.tid], r.pos) for r in index.collect()} == {(1, "a", 0), (1, "b", 1), (1, "c", 2), (1, "a", 3), (1, "end", 4), (2, "c", 0), (2, "b", 2), (2, "a", 4), (2, "end", 5), (3, "end", 0), (4, "a", 0), (4, "b", 1), (4, "c", 4), (4, "end", 5)}
+    ranked = decontaminate.ranked_places(index, wins.places)
+    leads = decontaminate._leads(index, ranked)
+    local = decontaminate._of_leads(index, leads)
+    assert {(r.doc_id, r.start) for r in decontaminate.phrase_matches(index, ranked, leads, local).collect()} == {(1, 0)}
+    assert {r.doc_id for r in decontaminate.proximity_matches(ranked, leads, local).collect()} == {1, 2, 4}
+    assert {r.doc_id for r in decontaminate.proximity_matches(ranked, leads, local, 1).collect()} == {1}
 
 
 def lm_corpus():
