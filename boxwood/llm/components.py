@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.llm.common import stash
 
 
+def with_least(edges: DataFrame, name: str) -> DataFrame:
+    """``edges(u, v)`` with ``m``, the least ``v`` of each ``u``. The least comes from
+    partial sums and is written, so the join back has a plain exchange on either
+    side and a hub's edges are split over tasks."""
+    least = stash(edges.groupBy("u").agg(F.min("v").alias("m")), name)
+    return edges.join(least, "u").select("u", "v", "m")
+
+
 def connected(edges: DataFrame, most: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``, the root being the
     component's smallest node. Each round rewires edges to the smallest
     neighbour; it ends when a round changes none. Only counts reach the driver.
-    Null ends are ignored; no edges give no rows."""
+    Null ends are ignored; no edges give no rows. Rounds grow with the logarithm
+    of the longest chain; ``most`` is far beyond any input's."""
     low, high = F.least("a", "b"), F.greatest("a", "b")
     e = stash(edges.select(high.alias("u"), low.alias("v")).filter("u > v").distinct(), "edges")
     told = _sum(e)
@@ -20,10 +29,9 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
         if not told[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.select("u", "v", m.alias("m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
-        small = least.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
+        large = with_least(both, "least").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = with_least(stash(large, "large"), "least")
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
         e = stash(small, "edges")
         now = _sum(e)
         if now == told:

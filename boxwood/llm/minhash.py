@@ -28,12 +28,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.llm import blocks as B
 from boxwood.llm.common import row_key, stash
-from boxwood.llm.components import connected
+from boxwood.llm.components import connected, with_least
 
 ROWS, TABLES, GRID, MOST_TABLES = 3, 10, 400, 16
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, (2 * MOST_TABLES * ROWS, 2), dtype=np.uint64) * B.U64(2) + B.U64(1)
@@ -111,12 +111,25 @@ def signatures(docs: DataFrame, words: int, tables: int, id_col: str, text_col:
     return stash(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), row_key(id_col, text_col)).mapInArrow(run, "doc_id long, k long, cls long, n long, a array<long>, b array<long>"), "signatures")
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """``(a, b)``: each class with the smallest class it shares a table key with."""
-    keys = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    k = classes.select("cls", F.explode(keys).alias("key"))
-    k = k.select("cls", F.min("cls").over(Window.partitionBy("key")).alias("b"))
-    return k.filter("cls != b").select(F.col("cls").alias("a"), "b").distinct()
+def shared_values(classes: DataFrame, tables: int) -> DataFrame:
+    """``cls, a, b``: of both collections, the places whose value another class has
+    too. A table key can only be shared by classes that share both its values, so
+    these few make all the keys that matter."""
+    each = classes.select("cls", F.posexplode(F.concat("a", "b")).alias("i", "v"))
+    often = stash(each.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("i", "v"), "values")
+    mine = each.join(often, ["i", "v"])
+    kept = mine.groupBy("cls").agg(F.collect_list(F.struct("i", "v")).alias("x"))
+    sides = F.filter("x", lambda y: y["i"] < tables).alias("a"), F.filter("x", lambda y: y["i"] >= tables).alias("b")
+    return kept.select("cls", *sides).filter((F.size("a") > 0) & (F.size("b") > 0))
+
+
+def candidate_edges(classes: DataFrame, tables: int) -> DataFrame:
+    """``(a, b)``: each class with the smallest class it shares a table key with. The
+    smallest comes from partial sums; a key that very many classes have is a row a
+    task there, and split over tasks in the join back."""
+    keys = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x["i"], x["v"], y["i"], y["v"]))))
+    k = stash(shared_values(classes, tables), "shared").select(F.col("cls").alias("v"), F.explode(keys).alias("u"))
+    return with_least(k, "keys").filter("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def link(names: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -153,7 +166,7 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, tables: int, id_col
     component it is in (null without words) and that component's smallest id."""
     sig = signatures(docs, words, tables, id_col, text_col)
     classes = stash(sig.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
-    clusters = stash(connected(candidate_edges(classes)), "clusters")
+    clusters = stash(connected(candidate_edges(classes, tables)), "clusters")
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GRID).cast("int").alias("parts"))
     members = classes.select("cls", "id").join(clusters, F.col("cls") == F.col("node")).join(sizes, "root").select("cls", "id", "root", "parts")
     source = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).cast("string").alias("text_"))
@@ -202,12 +215,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, tables: int = 12) -> DataFrame:
-    """``docs`` (``doc_id``, ``text`` and any other columns) with one row of each
-    group: the smallest id, null last, and of rows that agree in id and text the
-    first. Rows without words are in no group and all stay."""
+    """``docs`` (``doc_id``, ``text`` and any other columns, of any names) with one
+    row of each group: the smallest id, null last, and of rows that agree in id and
+    text the first. Rows without words are in no group and all stay."""
     rows = grouped(docs, words, num, den, tables).filter(F.col("comp").isNotNull())
     first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k")).alias("m")).select(F.col("m.k").alias("_k"), F.col("m.doc_id").alias("_id"))
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    own = docs.withColumn("_own", row_key())
-    kept = own.filter(has_words).join(first, (F.col("_own") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_own", "doc_id"])
-    return kept.select(*docs.columns).union(docs.filter(~has_words))
+    # One struct holds the row, so no column of it can clash with ours.
+    own = docs.filter(has_words).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("own"), F.col("doc_id").alias("id"))
+    kept = own.join(first, (F.col("own") == F.col("_k")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["own", "id"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).union(docs.filter(~has_words))
