@@ -1,26 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words of a clause are read by five small transducers that run side by side (their
-composition): insults, threats, targets, negation and reported speech. An insult
-or threat is emitted with the states that the others are in: addressed to a
-target, negated, quoted, or plain. A document's features are the counts of the
-emissions and their share of its words, and a logistic model turns them into a
-score, so a matched clause weighs by its context and a word by itself decides
-nothing.
+Words of a clause become symbols (sure or likely insult, threat, target, negation,
+reported speech, other) and small transducers, composed into two machines, read
+them. From left to right negation, reported speech and targets mark the insults
+and threats that they reach; from right to left targets mark those before them;
+then the insult and threat transducers emit, on weighted arcs, one event for each
+marked symbol: plain, targeted, negated, quoted, threat, likely, doubtful. (A left
+and a right sequential machine one after the other is the general form of a
+rational function.)
+
+A clause is scored as a whole, by its strongest event and whether it has several;
+a document by its numbers of clauses of each kind and their share of its words.
 
 The insult lexicon has two grades, each of words and stems: sure ones, which clean
 texts hardly have, and likely ones, which are many times as frequent in texts of
 label 1 but occur in clean ones too. Lexicon and weights are learned from labelled
 training rows: those whose crc32(doc_id as text) mod 4 is not 2. The fit reads a
-bounded sample of them, ``SAMPLE`` rows (a documented parameter); every text is
-scored whole.
+bounded sample of them (``SAMPLE`` rows, ``SAMPLE_BYTES`` of text in expectation,
+both documented parameters); every text is scored whole.
 
 Defined results
     null or empty text: the score of a text without matches.
     null ``doc_id``: its text form is the empty string, so it is not held out;
-    unlabelled rows and null labels teach nothing. Repeated rows are scored each.
+    unlabelled rows and null labels teach nothing. Repeated rows are scored each;
+    a text that is labelled both ways counts as label 1.
     Without usable labels the seed lexicon and fixed weights are used.
-    Extra columns are ignored.
+    texts of any length are scored whole. Extra columns are ignored, or kept as they
+    are where rows are filtered.
 """
 
 from __future__ import annotations
@@ -28,14 +34,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Hashable, Iterable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, THRESHOLD = 8000, 0.3
+SAMPLE, SAMPLE_BYTES, THRESHOLD = 8000, 32 << 20, 0.3
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "worthless", "pathetic", "disgusting")
 THREATS = frozenset("kill hurt destroy murder stab shoot beat töten umbringen verletzen tuer blesser frapper matar herir golpear".split())
 TARGETS = frozenset("you your yours u they them he she du dich dir euch ihr tu te toi vous tú ti usted ustedes vosotros".split())
@@ -43,12 +51,79 @@ NEGATIONS = frozenset("not no never isnt arent dont nicht kein keine nie pas jam
 REPORTS = frozenset("said says say wrote claimed quoted sagte sagt schrieb dit disait écrit dijo dice escribió".split())
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W\d_]+")
-#: Words that negation and reported speech reach, and that a target may stand off.
+#: Words that negation reaches, and that a target may stand off.
 REACH, NEAR = 3, 4
-FEATURES = ("plain", "targeted", "negated", "quoted", "threat", "likely", "doubtful", "share")
+#: From the strongest to the weakest.
+EVENTS = ("threat", "targeted", "plain", "quoted", "negated", "likely", "doubtful")
+FEATURES = (*EVENTS, "several", "share")
 #: A likely form is at least so many times as frequent in texts of label 1.
 RATIO = 10
 
+Symbol = tuple[str, frozenset[str]]
+Step = Callable[[Hashable, Symbol], tuple[Hashable, Symbol, float]]
+NONE: frozenset[str] = frozenset()
+KINDS = ("other", "sure", "maybe", "menace", "target", "negation", "report")
+MARKED = ("sure", "maybe", "menace")
+
+
+class Transducer:
+    """Letter to letter and deterministic. ``step(state, symbol)`` is the arc's end,
+    output and weight; ``compiled`` has the arcs that can be reached."""
+
+    def __init__(self, start: Hashable, step: Step):
+        self.start, self.step = start, step
+
+    def compose(self, then: Transducer) -> Transducer:
+        """The machine that feeds ``then`` with what this one writes."""
+
+        def step(state, symbol):
+            a, b = state
+            a, middle, w = self.step(a, symbol)
+            b, out, v = then.step(b, middle)
+            return (a, b), out, w + v
+
+        return Transducer((self.start, then.start), step)
+
+    def compiled(self, alphabet: Iterable[Symbol]) -> dict[Hashable, dict[Symbol, tuple]]:
+        arcs, todo, alphabet = {}, [self.start], list(alphabet)
+        while todo:
+            state = todo.pop()
+            if state not in arcs:
+                arcs[state] = {x: self.step(state, x) for x in alphabet}
+                todo += [arc[0] for arc in arcs[state].values()]
+        return arcs
+
+
+def _marker(trigger: str, reach: int | None, mark: str) -> Transducer:
+    """Marks what stands up to ``reach`` words after a trigger (None: up to the end)."""
+
+    def step(left, x):
+        kind, marks = x
+        out = (kind, marks | {mark}) if left and kind in MARKED else x
+        if kind == trigger:
+            return (1 if reach is None else reach), out, 0.0
+        return (left if reach is None else max(0, left - 1)), out, 0.0
+
+    return Transducer(0, step)
+
+
+def _emitter(kinds: tuple[str, ...], event: Callable[[str, frozenset[str]], str | None], weights: dict[str, float]) -> Transducer:
+    def step(state, x):
+        name = event(*x) if x[0] in kinds else None
+        return (state, (name, NONE), weights.get(name, 0.0)) if name else (state, x, 0.0)
+
+    return Transducer(0, step)
+
+
+def _insult(kind: str, marks: frozenset[str]) -> str:
+    if kind == "maybe":
+        return "doubtful" if marks & {"negated", "quoted"} else "likely"
+    return next((e for m, e in (("negated", "negated"), ("quoted", "quoted"), ("aimed", "targeted")) if m in marks), "plain")
+
+
+def _threat(kind: str, marks: frozenset[str]) -> str | None:
+    return "threat" if marks == {"aimed"} else None
+
 
 @dataclass
 class Grammar:
@@ -56,54 +131,77 @@ class Grammar:
     stems: tuple[str, ...] = ()
     likely: frozenset[str] = frozenset()
     likely_stems: tuple[str, ...] = ()
-    weights: list[float] = field(default_factory=lambda: [2.0, 2.5, 0.5, 1.0, 2.0, 1.0, 0.5, 0.5])
+    #: By feature: of the logarithm of one more than the number of clauses.
+    weights: dict[str, float] = field(default_factory=lambda: dict(zip(FEATURES, (2.5, 2.5, 2.0, 1.0, 0.5, 1.0, 0.5, 0.5, 0.5), strict=True)))
     bias: float = -4.0
 
-    def pattern(self) -> re.Pattern:
+    @cached_property
+    def machines(self) -> tuple[dict, dict]:
+        """What reads a clause from the left, and what then reads it from the right;
+        both start in the state they were built with."""
+        left = _marker("negation", REACH, "negated").compose(_marker("report", None, "quoted")).compose(_marker("target", NEAR, "aimed"))
+        right = _marker("target", NEAR, "aimed").compose(_emitter(("sure", "maybe"), _insult, self.weights)).compose(_emitter(("menace",), _threat, self.weights))
+        a = left.compiled((k, NONE) for k in KINDS)
+        b = right.compiled({arc[1] for arcs in a.values() for arc in arcs.values()})
+        return (left.start, a), (right.start, b)
+
+    @cached_property
+    def first(self) -> re.Pattern:
         """Finds texts in which some transducer can emit at all."""
         whole, begun = self.words | self.likely | THREATS, {*self.stems, *self.likely_stems}
         some = [re.escape(w) + r"(?![^\W\d_])" for w in sorted(whole)] + [re.escape(s) for s in sorted(begun)]
         return re.compile(r"(?<![^\W\d_])(?:" + "|".join(some) + ")")
 
-    def emissions(self, text: str, first: re.Pattern | None = None) -> np.ndarray:
+    def kind(self, word: str) -> str:
+        if word in self.words or word.startswith(self.stems):
+            return "sure"
+        if word in self.likely or word.startswith(self.likely_stems):
+            return "maybe"
+        return next((k for k, some in (("menace", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) if word in some), "other")
+
+    def read(self, words: list[str], known: dict[str, str] | None = None) -> tuple[Counter, float]:
+        """The events that the machines emit for a clause, in numbers, and the weight
+        of the path they take."""
+        known = {} if known is None else known
+        (state, arcs), (back, arcs_back) = self.machines
+        out, found, weight = [], Counter(), 0.0
+        for w in words:
+            kind = known.get(w)
+            if kind is None:
+                kind = known[w] = self.kind(w)
+            state, x, v = arcs[state][kind, NONE]
+            weight += v
+            out.append(x)
+        for x in reversed(out):
+            back, (name, _), v = arcs_back[back][x]
+            weight += v
+            if name in EVENTS:
+                found[name] += 1
+        return found, weight
+
+    def matches(self, text: str) -> list[tuple[str, dict[str, int], float]]:
+        """The matched clauses of a text: words, events and path weight."""
+        each = ((words := WORD.findall(c), *self.read(words)) for c in CLAUSE.split(text.lower()))
+        return [(" ".join(words), dict(found), weight) for words, found, weight in each if found]
+
+    def features(self, text: str) -> np.ndarray:
         out = np.zeros(len(FEATURES))
         text = text.lower()
-        if not (first or self.pattern()).search(text):
+        if not self.first.search(text):
             return out
-        n = 0
+        n, emitted, known = 0, 0, {}
         for clause in CLAUSE.split(text):
             words = WORD.findall(clause)
-            out += self.clause(words)
             n += len(words)
-        out[7] = 100 * out.sum() / max(n, 1)
-        return out
-
-    def insult(self, word: str) -> bool:
-        return word in self.words or word.startswith(self.stems)
-
-    def likely_insult(self, word: str) -> bool:
-        return word in self.likely or word.startswith(self.likely_stems)
-
-    def clause(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(FEATURES))
-        negated = quoted = 0  # states: words for which the transducer stays on
-        for i, w in enumerate(words):
-            if w in NEGATIONS:
-                negated = REACH + 1
-            if w in REPORTS:
-                quoted = len(words)
-            near = lambda i=i: any(x in TARGETS for x in words[max(0, i - NEAR) : i + NEAR + 1])
-            if self.insult(w):
-                out[2 if negated else 3 if quoted else 1 if near() else 0] += 1
-            elif self.likely_insult(w):
-                out[6 if negated or quoted else 5] += 1
-            elif w in THREATS and not negated and not quoted and near():
-                out[4] += 1
-            negated, quoted = max(0, negated - 1), max(0, quoted - 1)
+            if self.first.search(clause) and (found := self.read(words, known)[0]):
+                out[next(i for i, e in enumerate(EVENTS) if found[e])] += 1
+                out[-2] += found.total() > 1
+                emitted += found.total()
+        out[-1] = 100 * emitted / max(n, 1)
         return out
 
-    def score(self, emitted: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-(self.bias + np.log1p(emitted) @ np.array(self.weights)))))
+    def score(self, features: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-(self.bias + np.log1p(features) @ np.array([self.weights[f] for f in FEATURES])))))
 
 
 def lexicon(texts: list[str], labels: list[int], least: int = 5, precision: float = 0.98) -> tuple[frozenset[str], tuple[str, ...], frozenset[str], tuple[str, ...]]:
@@ -178,36 +276,37 @@ def is_held_out(doc_id) -> bool:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """Fit on about ``sample`` labelled rows, picked by a hash of the id."""
+    """Fit on about ``sample`` labelled rows, or ``SAMPLE_BYTES`` of text if that is
+    less, picked by a hash of the id. The result depends on the rows alone, not on
+    their order."""
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
     marked = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = marked.count()
-    share = min(1.0, sample / max(n, 1))
-    some = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else marked
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(some, "doc_id").select("text", "toxic").collect()
-    label = {r.text: int(r.toxic) for r in rows}
-    del rows
-    texts, y = list(label), list(label.values())
+    usable = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(marked, "doc_id").select("doc_id", "text", "toxic")
+    n, total = usable.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    share = min(1.0, sample / max(n, 1), SAMPLE_BYTES / max(total or 0, 1))
+    some = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else usable
+    label: dict[str, int] = {}
+    for r in some.filter(F.octet_length("text") <= SAMPLE_BYTES // 8).select("text", "toxic").toLocalIterator():
+        label[r.text] = max(label.get(r.text, 0), int(r.toxic))
+    texts = sorted(label)
+    y = [label[t] for t in texts]
     if not 0 < sum(y) < len(y):
         return Grammar()
     words, stems, likely, likely_stems = lexicon(texts, y)
     if not (words or stems or likely or likely_stems):
         return Grammar()
     g = Grammar(words | frozenset(SEEDS), stems, likely, likely_stems)
-    first = g.pattern()
-    x = np.array([g.emissions(t, first) for t in texts])
-    g.weights, g.bias = fit_weights(x, np.array(y, float))
-    return g
+    w, g.bias = fit_weights(np.array([g.features(t) for t in texts]), np.array(y, float))
+    # The machines' weights are those of the arcs: made anew with them.
+    return Grammar(g.words, g.stems, g.likely, g.likely_stems, dict(zip(FEATURES, w, strict=True)), g.bias)
 
 
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, held_out, score, predicted``."""
 
     def run(batches):
-        first = grammar.pattern()
         for b in batches:
-            emitted = [grammar.emissions(t.as_py() or "", first) for t in b.column(1)]
-            s = [grammar.score(e) for e in emitted]
+            s = [grammar.score(grammar.features(t.as_py() or "")) for t in b.column(1)]
             out = [is_held_out(i.as_py()) for i in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.bool_()), pa.array(s, pa.float64()), pa.array([int(v >= THRESHOLD) for v in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -219,9 +318,8 @@ def keep_clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        first = grammar.pattern()
         for b in batches:
-            fine = [grammar.score(grammar.emissions(t.as_py() or "", first)) < THRESHOLD for t in b.column(at)]
+            fine = [grammar.score(grammar.features(t.as_py() or "")) < THRESHOLD for t in b.column(at)]
             yield b.filter(pa.array(fine, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -345,14 +345,42 @@ def test_toxicity(spark):
     kept = toxicity.keep_clean(frame(spark, docs), g)
     assert kept.columns == frame(spark, docs).columns and kept.filter("doc_id IS NULL OR doc_id >= 700").count() == 3
     assert toxicity.train(frame(spark, docs), lab.limit(0)) == toxicity.Grammar()
+    assert toxicity.train(frame(spark, docs[::-1]).repartition(5), lab.repartition(4)) == g
+    none = spark.createDataFrame([], SCHEMA)
+    assert toxicity.train(none, lab) == toxicity.Grammar() and toxicity.score(none, g).count() == toxicity.keep_clean(none, g).count() == 0
+    long = "word " * 200000 + "you idiot. " + "word. " * 100000
+    assert toxicity.score(spark.createDataFrame([(1, long, 1, "x")], SCHEMA), g).count() == 1
 
 
 def test_grammar_states():
     g = toxicity.Grammar()
-    at = lambda t: dict(zip(toxicity.FEATURES, g.emissions(t)))
-    assert at("you idiot")["targeted"] == 1 and at("what an idiot")["plain"] == 1
-    assert at("he is not an idiot.")["negated"] == 1 and at("it said scum wrote that")["quoted"] == 1
-    assert at("i will kill you")["threat"] == 1 and at("idiotic kill")["plain"] == 0
+    at = lambda t: {f for f, x in zip(toxicity.FEATURES[:-2], g.features(t)) if x}
+    assert at("you idiot") == at("idiot, all of you") == {"targeted"} and at("what an idiot") == {"plain"}
+    assert at("he is not an idiot.") == {"negated"} and at("it said scum wrote that") == {"quoted"}
+    assert at("not at all, dear you idiot") == {"targeted"} and at("he said. an idiot") == {"plain"}
+    assert at("i will kill you") == {"threat"} and at("i will not kill you") == at("kill the lights") == at("idiotic kill") == set()
+    likely = toxicity.Grammar(likely=frozenset(["zorg"]), likely_stems=("blar",))
+    assert [m[1] for m in likely.matches("a zorg; no zorg; blarx and blary you idiot")] == [{"likely": 1}, {"doubtful": 1}, {"targeted": 1, "likely": 2}]
+    assert likely.matches("no zorg")[0][2] == likely.weights["doubtful"]
+
+
+def test_composition_is_one_machine():
+    a, b = toxicity._marker("negation", 2, "negated"), toxicity._marker("report", None, "quoted")
+    both, start = a.compose(b).compiled((k, toxicity.NONE) for k in toxicity.KINDS), (0, 0)
+    r = random.Random(1)
+    for _ in range(200):
+        clause = [(r.choice(toxicity.KINDS), toxicity.NONE) for _ in range(r.randrange(12))]
+        state, got = start, []
+        for x in clause:
+            state, y, _ = both[state][x]
+            got.append(y)
+        for machine in (a, b):
+            s, out = machine.start, []
+            for x in clause:
+                s, y, _ = machine.step(s, x)
+                out.append(y)
+            clause = out
+        assert got == clause
 
 
 def test_ann(spark):
