@@ -1,26 +1,27 @@
 """Byte-level BPE by tree reduction, and back.
 
-A text is cut into leaves at any code points. A leaf is split into pieces by the
-pre-tokeniser's pattern and its pieces are encoded. Neighbours are joined as a
-monoid: pieces of the left part that end well before the seam stand as they are;
-from the first that does not, the pattern is matched anew across the seam, piece
-by piece, so the window grows until a match begins where a piece of the right
-part begins. From there on both scans are the same, because the pattern looks
-only ahead, and by ``LOOK`` code points at most beyond a piece: the tokens outside
-the window are provably final. Decoding joins the bytes of the parts up the tree.
-
-Texts of one leaf go to the library whole; both ways give the same ids.
+A text's halves are encoded recursively, down to leaves of ``LEAF`` code points
+that the library encodes. Neighbours are joined as a monoid: the text around the
+seam is encoded anew, in a window that grows on either side until it begins and
+ends at a place where tokens provably cannot change. Such a place lies between a
+letter or digit and a space or line feed: no alternative of the pattern matches
+both, so every scan breaks there, and what is before it and after it is encoded
+the same alone as together (the pattern looks ahead only, and a piece that ends in
+a letter or digit does not look beyond itself). The tokens outside the window
+stand as they are. Where a side has no such place the window takes it whole.
+Decoding joins the bytes of the parts up the tree.
 
 Defined results
     null or empty text: no ids; the hashes of the empty string.
     any ``doc_id`` (null, repeated): one result row per input row. Extra columns
-    are ignored. Texts are encoded whole; a piece longer than a leaf is one piece.
+    are ignored. Texts of any length are encoded whole.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -29,61 +30,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-LEAF, LOOK = 1 << 14, 16
+#: Code points of a leaf, and of the first window on either side of a seam.
+LEAF, WINDOW = 1 << 10, 32
+#: Where every scan of the pattern breaks.
+BREAK = re.compile(r"(?<=[^\W_])(?=[ \n])")
 
 
 class Coder:
     """A vocabulary with its pattern; one per worker process."""
 
     def __init__(self, path: str, pattern: str):
-        import regex
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.whole = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(pattern)
         self.names = [str(i) for i in range(max(ranks.values()) + 1)]
-        self.piece = lru_cache(1 << 16)(lambda p: tuple(self.whole.encode_ordinary(p)))
-
-    def leaf(self, text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, ...]], int]:
-        """Starts of the pieces of text[a:b], their ids, and b."""
-        starts, ids = [], []
-        for m in self.pattern.finditer(text, a, b):
-            starts.append(m.start())
-            ids.append(self.piece(m.group()))
-        return starts, ids, b
-
-    def join(self, text: str, left: tuple, right: tuple) -> tuple:
-        starts, ids, seam = left
-        end = right[2]
-        firm = len(starts)
-        while firm and (starts[firm] if firm < len(starts) else seam) > seam - LOOK:
-            firm -= 1
-        at = starts[firm] if firm < len(starts) else seam
-        known = {s: k for k, s in enumerate(right[0])}
-        new_starts, new_ids = [], []
-        while at < end and at not in known:
-            m = self.pattern.search(text, at, end)
-            if m is None:
-                at = end
-                break
-            if m.start() in known:
-                at = m.start()
+        self.size = [0] * len(self.names)
+        for token, i in ranks.items():
+            self.size[i] = len(token)
+
+    def _within(self, ids: list[int], n_bytes: int, back: bool) -> int:
+        """How many tokens at an end of ``ids`` make ``n_bytes``."""
+        k = 0
+        while n_bytes > 0:
+            n_bytes -= self.size[ids[-1 - k] if back else ids[k]]
+            k += 1
+        assert n_bytes == 0, "a break inside a token"
+        return k
+
+    def join(self, text: str, a: int, left: list[int], seam: int, right: list[int], b: int) -> list[int]:
+        """Ids of text[a:b] from those of text[a:seam] and text[seam:b]."""
+        if BREAK.match(text, seam):
+            return left + right
+        first, width = a, WINDOW
+        while True:  # the last break before the seam
+            start = max(a, seam - width)
+            at = [m.start() for m in BREAK.finditer(text, max(start, a + 1), seam)]
+            if at or start == a:
+                first = at[-1] if at else a
                 break
-            new_starts.append(m.start())
-            new_ids.append(self.piece(m.group()))
-            at = m.end()
-        k = known.get(at, len(right[0]))
-        return starts[:firm] + new_starts + right[0][k:], ids[:firm] + new_ids + right[1][k:], end
+            width *= 2
+        m = BREAK.search(text, seam + 1, b)
+        last = m.start() if m and m.start() < b else b
+        gone = self._within(left, len(text[first:seam].encode()), True)
+        skip = self._within(right, len(text[seam:last].encode()), False)
+        return left[: len(left) - gone] + self.whole.encode_ordinary(text[first:last]) + right[skip:]
 
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
-        if len(text) <= leaf:
-            return self.whole.encode_ordinary(text)
-        parts = [self.leaf(text, a, min(a + leaf, len(text))) for a in range(0, len(text), leaf)]
-        while len(parts) > 1:
-            parts = [self.join(text, *parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return [x for piece in parts[0][1] for x in piece]
+        return self._encode(text, 0, len(text), max(leaf, 1))
+
+    def _encode(self, text: str, a: int, b: int, leaf: int) -> list[int]:
+        if b - a <= leaf:
+            return self.whole.encode_ordinary(text[a:b])
+        seam = (a + b) // 2
+        return self.join(text, a, self._encode(text, a, seam, leaf), seam, self._encode(text, seam, b, leaf), b)
 
     def decode(self, ids: list[int], leaf: int = LEAF) -> bytes:
         if len(ids) <= leaf:
