@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 150
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What opens markup, and what a tag holds up to its ``>``; neither is tried twice at a place.
+OPENS = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+")
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NEVER = {"script", "style", "head", "title", "template", "noscript", "iframe", "svg", "canvas", "object", "form", "button", "select", "textarea", "input", "nav", "footer", "aside", "menu", "dialog", "noembed", "noframes"}
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -50,11 +55,12 @@ TAG_AT, TOKEN_AT = {t: i for i, t in enumerate(TAGS)}, {t: i for i, t in enumera
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "parts", "depth", "words", "n_text", "n_link", "n_tags", "n_p", "n_stops")
+    __slots__ = ("tag", "attrs", "parent", "block", "kids", "parts", "depth", "words", "n_text", "n_link", "n_tags", "n_p", "n_stops")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids, self.parts = tag, attrs, parent, [], []
         self.depth = parent.depth + 1 if parent else 0
+        self.block: Node = self if parent is None or tag in BLOCK else parent.block
         self.words: set[str] = set()
         self.n_text = self.n_link = self.n_tags = self.n_p = self.n_stops = 0
 
@@ -73,59 +79,96 @@ def attr_words(attrs: str) -> set[str]:
     return out
 
 
-def parse(page: str) -> Node:
-    """The element tree; ``parts`` holds texts and child nodes in page order."""
-    root = Node("#root", "", None)
-    at, top, end = 0, root, len(page)
+def tokens(page: str):
+    """Texts as strings, tags as (name, closing, attributes), in one pass. Raw-text
+    elements give their text as one string. Every search goes on where the last
+    one ended, so the time is linear in the page, whatever is left open in it."""
+    at, end, raw = 0, len(page), None
     while at < end:
-        m = TAG.search(page, at)
+        if raw:
+            m = RAW_END[raw].search(page, at)
+            yield page[at : m.start() if m else end]
+            raw = None
+            if not m:
+                return
+            at = m.start()
+        m = OPENS.search(page, at)
         if not m:
-            top.parts.append(page[at:])
-            break
+            yield page[at:]
+            return
         if m.start() > at:
-            top.parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            if m.group(0).startswith("<![CDATA["):
-                top.parts.append(m.group(0)[9:-3])
+            yield page[at : m.start()]
+        at, mark = m.start(), m.group()
+        if mark[1] in "!?":
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(mark, ">")
+            to = page.find(close, m.end())
+            if mark == "<![CDATA[":
+                yield page[m.end() : to if to >= 0 else end]
+            at = to + len(close) if to >= 0 else end
             continue
-        tag = tag.lower()
-        if m.group(1):
-            node = top
-            while node is not root and node.tag != tag:
-                if node.tag in ("table", "article", "body") and tag not in ("body", "html", "article", "main"):
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                top = node.parent
+        name = NAME.match(page, at)
+        inner = INSIDE.match(page, name.end())
+        to = inner.end()
+        if to < end and page[to] != ">":  # a quote that is never closed
+            to = page.find(">", to)
+            to = to if to >= 0 else end
+        tag, closing = name.group(1).lower(), mark[1] == "/"
+        attrs = page[name.end() : to]
+        at = to + 1
+        if to >= end:
+            return  # the page ends inside a tag
+        yield tag, closing, attrs
+        if tag in RAW and not closing:
+            raw = tag
+
+
+def parse(page: str) -> Node:
+    """The element tree; ``parts`` holds texts and child nodes in page order."""
+    root = Node("#root", "", None)
+    top, open_ = root, Counter()
+
+    def leave(node: Node) -> Node:
+        """Closes all up to ``node``; its parent is on top then."""
+        at = top
+        while True:
+            open_[at.tag] -= 1
+            if at is node:
+                return node.parent
+            at = at.parent
+
+    for token in tokens(page):
+        if isinstance(token, str):
+            top.parts.append(token)
             continue
-        if tag in CLOSES_P:
-            node = top
-            while node is not root and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                top = node.parent
+        tag, closing, attrs = token
+        if closing:
+            if open_[tag]:
+                node = top
+                while node is not root and node.tag != tag:
+                    if node.tag in ("table", "article", "body") and tag not in ("body", "html", "article", "main"):
+                        node = root
+                        break
+                    node = node.parent
+                if node is not root:
+                    top = leave(node)
+            continue
+        if tag in CLOSES_P and top.block.tag == "p":
+            top = leave(top.block)
         if tag in SAME:
-            node = top
+            node, close = top, None
             while node is not root and node.tag not in SAME[tag]:
                 if node.tag == tag or (tag in ("dd", "dt") and node.tag in ("dd", "dt")) or (tag in ("td", "th") and node.tag in ("td", "th")):
-                    top = node.parent
+                    close = node
                     break
-                if tag == "tr" and node.tag in ("td", "th"):
-                    node = node.parent
-                    continue
                 node = node.parent
-        node = Node(tag, m.group(3), top)
+            if close is not None:
+                top = leave(close)
+        node = Node(tag, attrs, top)
         top.kids.append(node)
         top.parts.append(node)
-        if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            node.parts.append(page[at : close.start()] if close else page[at:])
-            at = close.end() if close else end
-        elif tag not in VOID and not m.group(3).rstrip().endswith("/"):
+        if tag not in VOID and not (attrs.rstrip().endswith("/") and tag not in RAW):
             top = node
+            open_[tag] += 1
     return root
 
 
