@@ -16,7 +16,8 @@ Defined results
     part, neither as queries nor as candidates; nor do null ids or vectors whose
     length differs from the table's most common one.
     repeated ids count once per distinct vector, and never match their own id.
-    fewer candidates than ``k``: all of them. Extra columns are ignored.
+    fewer candidates than ``k``: all of them. No rows or no queries: no rows.
+    vectors of any length; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from boxwood.llm.common import stash
 
 LINKS, BUILD_WIDTH, SEARCH_WIDTH, STEP = 16, 64, 96, 4
-SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK = 200_000, 8, 20_000
+#: Bytes of vectors (8 a component) in a shard and in a block of queries: an index
+#: is one cell of about twice that, far from a cell's 2 GB.
+SHARD_BYTES, LEAST_SHARDS, QUERY_BYTES = 64 << 20, 8, 8 << 20
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -181,7 +184,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     nodes = stash(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "nodes")
     n = nodes.count()
     asked = stash(usable(queries, id_col, vec_col).filter(F.size("v") == dim).distinct(), "asked")
-    shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(1, -(-asked.count() // QUERY_BLOCK))
+    shards, blocks = max(LEAST_SHARDS, -(-n * dim * 8 // SHARD_BYTES)), max(1, -(-asked.count() * dim * 8 // QUERY_BYTES))
 
     def make(t: pa.Table) -> pa.Table:
         v = np.array(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1)

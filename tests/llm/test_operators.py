@@ -5,7 +5,9 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -278,9 +280,9 @@ NASTY = ["", "a", "it's we'll they've 'll", "don't" * 50, "   \n\n  x  ", "日
 
 
 @pytest.mark.parametrize("leaf", [1, 7, 64, 1000])
-def test_bpe_tree(leaf):
+def test_bpe_tree(leaf, seed=0):
     c = bpe.coder()
-    r = random.Random(leaf)
+    r = random.Random(leaf + seed)
     texts = NASTY + ["".join(r.choice("ab '\n1é日lv  ") for _ in range(700)) for _ in range(30)]
     for t in texts if leaf > 1 else texts[:5] + texts[-12:]:
         ids = c.encode(t, leaf)
@@ -288,6 +290,12 @@ def test_bpe_tree(leaf):
         assert c.decode(ids, leaf) == t.encode()
 
 
+def test_bpe_whole_table_by_the_tree(spark):
+    c = bpe.coder()
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        assert c.encode(r.text, 200) == c.whole.encode_ordinary(r.text)
+
+
 def test_bpe_query(spark):
     docs = [(i, t) for i, t in enumerate(NASTY)] + [(None, None), (1, "a")]
     c = bpe.coder()
@@ -322,6 +330,38 @@ def test_html_deep():
     assert isinstance(html.extract(["<div>" * 5000 + "x" + "</div>" * 5000], model)[0], str)
 
 
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a '", "<div>", "<b><p>", "</x>", "<script>", "<!--", "<![CDATA[", "<td>", "<li>", "a<b", "<x><table></x>"])
+def test_html_is_linear_in_what_is_left_open(part):
+    took = []
+    for n in (2000, 40000):
+        began = time.perf_counter()
+        html.parse(part * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 200 * took[0] + 2
+
+
+def test_html_tokens():
+    got = list(html.tokens("a<b c='>'>x</b><!-- <i> --><br/>&lt;<script>if (a<b) '</p>'</script >y<![CDATA[z]]><!x>1 < 2<p"))
+    assert got == ["a", ("b", False, " c='>'"), "x", ("b", True, ""), ("br", False, "/"), "&lt;", ("script", False, ""), "if (a<b) '</p>'", ("script", True, " "), "y", "z", "1 < 2"]
+
+
+def article_of(page):
+    """What the generated pages' article says, by patterns alone."""
+    body = re.search(r"<article>(.*?)</article>", page, re.S).group(1)
+    blocks = (" ".join(unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body))
+    return "\n".join(b for b in blocks if b)
+
+
+def test_html_finds_the_article(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    model = html._rows_or_rule(pages[:25])
+    assert [t == article_of(p) for t, p in zip(html.extract(pages, model), pages)].count(True) == len(pages)
+    renamed = [re.sub(r"<(/?)article>", lambda m: f"</{tag}>" if m.group(1) else f'<{tag} class="{cls}">', p) for p, (tag, cls) in zip(pages, [("div", "post-content"), ("section", "story"), ("div", "x1"), ("main", "m")] * 20)]
+    extra = '<div class="sidebar"><h3>More</h3><ul><li><a href="/a">Read this</a></li><li><a href="/b">And that</a></li></ul></div><div class="comments"><div class="comment"><p>Nice one.</p></div></div>'
+    renamed = [p.replace("<footer>", extra + "<footer>") for p in renamed]
+    assert [t == article_of(p) for t, p in zip(html.extract(renamed, model), pages)].count(True) >= 0.95 * len(pages)
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     fine = [f"w{i}" for i in range(300)]
