@@ -1,17 +1,21 @@
 """Benchmark decontamination over a stored positional inverted index.
 
-``build_index`` writes the postings of the benchmark's terms: a row for each place
-of such a term in the documents, with the document's key, and one closing row a
-document with its number of words. All that follows reads postings, never texts:
-
-1. Document frequencies come from the postings; a window's terms are ranked by
-   them. A window with a term that no document has cannot occur.
-2. The postings of a window's rarest term, less the term's offset, are candidate
-   starts. Lists of the other terms are intersected with them at their offsets,
-   the second rarest first, then the rest: an equi-join on document, place and
-   term, so nothing longer than a posting is ever shuffled.
-3. Proximity: a window's terms all within ``window + slop`` consecutive words, in
-   any order. The stretch must hold the rarest term, so its postings lead here too.
+A posting is a row ``(document, place, term)``; only terms of the benchmark have
+postings. A window's terms are ranked by how often the documents have them, and
+lists are intersected from the rarest up:
+
+1. One pass counts the benchmark's terms. A window with a term that no document
+   has cannot occur.
+2. One pass stores the postings of the ``RARE`` rarest terms of each window. Those
+   of the rarest term lead; the lists of the next ones are intersected with them
+   within reach. Few leads are left, and few documents have any.
+3. The postings of all terms are stored for the documents that have leads left.
+   A phrase match is a lead at whose start all terms stand at their offsets; a
+   proximity match is one around which all stand within ``window + slop``
+   consecutive words, in any order.
+
+Every intersection is an equi-join on document, term and place (or a cell of
+places), so nothing longer than a posting is shuffled.
 
 Defined results
     null or wordless text: no words, no hits, ``contaminated`` false.
@@ -45,6 +49,9 @@ BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 #: Extra words that a proximity match may spread over.
 SLOP = 2
 
+#: Terms of a window whose lists are stored for all documents.
+RARE = 3
+
 
 def words(col: Column) -> Column:
     """Lower-cased words. Splitting lower-cased text makes one string per word
@@ -52,131 +59,161 @@ def words(col: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(col, F.lit(""))), BETWEEN), "")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """``df``, a stored table, to be broadcast if its measured size allows it."""
+def _fits(df: DataFrame) -> bool:
+    """Whether a stored table may be broadcast, by its measured size."""
     size = sum((F.octet_length(c) if kind == "string" else F.lit(8) for c, kind in df.dtypes), F.lit(0))
     row = df.agg(F.count(F.lit(1)), F.sum(size)).first()
-    return F.broadcast(df) if row[0] <= BROADCAST_ROWS and (row[1] or 0) <= BROADCAST_BYTES else df
+    return row[0] <= BROADCAST_ROWS and (row[1] or 0) <= BROADCAST_BYTES
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if _fits(df) else df
 
 
 class Windows:
-    """Every window of every item, in three stored tables: ``terms`` (``term, tid``),
-    ``places`` (``wid, n, off, tid``) and ``owners`` (``wid, item_id``)."""
+    """Every window of every item: ``terms`` (``term, tid``, and the closing one),
+    stored and marked for broadcast if it is small enough, ``places`` (``wid, n, off, tid``) and ``owners``
+    (``wid, item_id``)."""
 
     def __init__(self, items: DataFrame, window: int = 8):
         w = items.select("item_id", words(F.col("text")).alias("w")).filter((F.size("w") > 0) & F.col("item_id").isNotNull())
         starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
-        owned = stash(w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, window))).alias("win")).distinct(), "owned")
+        owned = w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, window))).alias("win"))
         number = F.monotonically_increasing_id()  # fixed by writing it
-        unique = stash(owned.select("win").distinct().select("win", number.alias("wid")), "windows")
-        self.owners = stash(owned.join(unique, "win").select("wid", "item_id"), "owners")
+        unique = stash(owned.groupBy("win").agg(F.collect_set("item_id").alias("items")).select("win", "items", number.alias("wid")), "windows")
+        self.owners = unique.select("wid", F.explode("items").alias("item_id"))
         each = unique.select("wid", F.size("win").alias("n"), F.posexplode("win").alias("off", "term"))
-        self.terms = stash(each.select("term").distinct().select("term", number.alias("tid")), "terms")
-        self.places = stash(each.join(self.terms, "term").select("wid", "n", "off", "tid"), "places")
+        close = items.sparkSession.createDataFrame([(CLOSE, CLOSE_ID)], "term string, tid long")
+        terms = stash(each.select("term").distinct().select("term", number.alias("tid")).union(close), "terms")
+        self.places = each.join(terms, "term").select("wid", "n", "off", "tid")
+        self.terms = _sized(terms)
+
+
+def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(tid, df)``: places in ``docs`` of each of ``terms``. Partial counts are
+    combined before the shuffle, so a frequent term is one row a task."""
+    each = docs.select(F.explode(words(F.col("text"))).alias("term"))
+    return each.join(terms, "term").groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``(k, doc_id, pos, tid)``: each place (from 0) of each of ``terms`` in
-    ``docs``, written to the shared folder; and for each document a row of
-    ``CLOSE_ID`` whose ``pos`` is its number of words."""
-    spark = docs.sparkSession
-    known = _sized(terms.union(spark.createDataFrame([(CLOSE, CLOSE_ID)], terms.schema)))
+    ``docs``, written to the shared folder; if the closing term is among them, for
+    each document a row of ``CLOSE_ID`` whose ``pos`` is its number of words."""
     # No lambda up to the join: the scan, the explode and the probe share one generated loop.
     each = docs.select(row_key().alias("k"), "doc_id", F.posexplode(F.array_append(words(F.col("text")), CLOSE)).alias("pos", "term"))
-    return stash(each.join(known, "term").select("k", "doc_id", "pos", "tid"), "postings")
+    return stash(each.join(terms, "term").select("k", "doc_id", "pos", "tid"), "postings")
+
 
+def ranked_windows(places: DataFrame, df: DataFrame) -> DataFrame:
+    """``(wid, n, tids, at)`` of the windows that can occur: their distinct terms,
+    the rarest first, and their terms with offsets."""
+    known = places.join(df, "tid").groupBy("wid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tid", "off"))).alias("t"))
+    tids = F.array_distinct(F.transform("t", lambda x: x["tid"]))
+    return stash(known.filter(F.size("t") == F.col("n")).select("wid", "n", tids.alias("tids"), F.transform("t", lambda x: F.struct(x["tid"].alias("tid"), x["off"].alias("off"))).alias("at")), "ranked")
 
-def ranked_places(index: DataFrame, places: DataFrame) -> DataFrame:
-    """``places`` of the windows that can occur, with ``r``: 0 for the rarest term.
-    Counting combines within tasks first, so a frequent term is a row a task."""
-    df = index.filter(F.col("tid") != CLOSE_ID).groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
-    known = places.join(df, "tid").groupBy("wid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "off", "tid"))).alias("t"))
-    return stash(known.filter(F.size("t") == F.col("n")).select("wid", "n", F.posexplode("t").alias("r", "t")).select("wid", "n", "r", "t.off", "t.tid"), "ranked")
 
+def _same(tid: str = "tid") -> Column:
+    """A row's document and term are those of a posting (``p*``)."""
+    return (F.col("k") == F.col("pk")) & F.col("doc_id").eqNullSafe(F.col("pdoc")) & (F.col(tid) == F.col("ptid"))
 
-def _leads(index: DataFrame, ranked: DataFrame) -> DataFrame:
-    """``(k, doc_id, wid, n, start)``: where a window would start if its rarest term
-    stands at a posting."""
-    rarest = _sized(ranked.filter("r = 0").select("wid", "n", "off", "tid"))
-    found = index.filter(F.col("tid") != CLOSE_ID).join(rarest, "tid").select("k", "doc_id", "wid", "n", (F.col("pos") - F.col("off")).alias("start"))
-    return stash(found.distinct(), "leads")
 
+def _postings(index: DataFrame) -> DataFrame:
+    return index.filter(F.col("tid") != CLOSE_ID).select(F.col("k").alias("pk"), F.col("doc_id").alias("pdoc"), "pos", F.col("tid").alias("ptid"))
 
-def _of_leads(index: DataFrame, leads: DataFrame) -> DataFrame:
-    """The postings of the documents that have leads."""
-    some = _sized(stash(leads.select("k", F.col("doc_id").alias("id")).distinct(), "documents"))
-    return stash(index.filter(F.col("tid") != CLOSE_ID).join(some, (index.k == some.k) & index.doc_id.eqNullSafe(some.id), "left_semi").distinct(), "local")
 
+def leads_of(index: DataFrame, ranked: DataFrame, reach: int) -> DataFrame:
+    """``(k, doc_id, wid, lead)``: places of a window's rarest term that have its
+    next ``RARE - 1`` terms less than ``reach`` words away."""
+    # A window of fewer terms repeats its last, which is found where it was found.
+    nth = [F.col("tids")[F.least(F.lit(q), F.size("tids") - 1)].alias(f"t{q}") for q in range(RARE)]
+    head = _sized(stash(ranked.select("wid", *nth), "rarest"))
+    p = _postings(index)
+    leads = p.join(head, F.col("ptid") == F.col("t0")).select(F.col("pk").alias("k"), F.col("pdoc").alias("doc_id"), "wid", F.col("pos").alias("lead"), *[f"t{q}" for q in range(1, RARE)]).distinct()
+    # Places are cut into cells, so a term's places far from a lead never meet it,
+    # however often a document has the term.
+    cell = lambda c: F.floor(c / (4 * reach))
+    celled = p.withColumn("pcell", cell(F.col("pos")))
+    for q in range(1, RARE):
+        cells = F.explode(F.array_distinct(F.array(cell(F.col("lead") - reach), cell(F.col("lead") + reach))))
+        wanted = leads.withColumn("cell", cells)
+        met = wanted.join(celled, _same(f"t{q}") & (F.col("cell") == F.col("pcell")) & (F.abs(F.col("pos") - F.col("lead")) < reach))
+        leads = met.select(*leads.columns).distinct()
+    return stash(leads.select("k", "doc_id", "wid", "lead"), "leads")
 
-def phrase_matches(index: DataFrame, ranked: DataFrame, leads: DataFrame, local: DataFrame) -> DataFrame:
+
+def postings_of(docs: DataFrame, leads: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of all ``terms`` for the documents that have leads."""
+    some = _sized(stash(leads.select(F.col("k").alias("lk"), F.col("doc_id").alias("ldoc")).distinct(), "documents"))
+    return _postings(build_index(docs.join(some, (row_key() == F.col("lk")) & F.col("doc_id").eqNullSafe(F.col("ldoc")), "left_semi"), terms)).distinct()
+
+
+def phrase_matches(local: DataFrame, ranked: DataFrame, leads: DataFrame) -> DataFrame:
     """``(k, doc_id, wid, n, start)`` of the windows that occur."""
-    lists = _sized(ranked.filter("r > 0").select("wid", "r", "off", "tid"))
-    at = local.select(F.col("k").alias("pk"), F.col("doc_id").alias("id"), "pos", F.col("tid").alias("ptid"))
-    got = leads.filter("start >= 0")
-    for first, last in ((1, 1), (2, None)):
-        some = lists.filter(F.col("r") >= first) if last is None else lists.filter(F.col("r").between(first, last))
-        wanted = got.join(some, "wid")
-        same = (F.col("k") == F.col("pk")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("start") + F.col("off") == F.col("pos")) & (F.col("tid") == F.col("ptid"))
-        need = (F.least(F.col("n"), F.lit(last + 1)) if last else F.col("n")) - first
-        met = wanted.join(at, same).groupBy("k", "doc_id", "wid", "n", "start").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") == need).drop("met")
-        got = stash(met.unionByName(got.filter(F.col("n") <= first)), "phrases")  # windows that have no further term
-    return got
-
-
-def proximity_matches(ranked: DataFrame, leads: DataFrame, local: DataFrame, slop: int = SLOP) -> DataFrame:
-    """``(k, doc_id, wid)``: all terms of the window within ``n + slop`` consecutive
-    words around a posting of its rarest term."""
-    rare = _sized(ranked.filter("r = 0").select("wid", F.col("off").alias("lead")))
-    reach = F.col("n") + slop
-    here = leads.join(rare, "wid").select("k", "doc_id", "wid", "n", (F.col("start") + F.col("lead")).alias("at"))
-    # Places are cut into cells as long as the reach, so a term's places far from a
-    # lead never meet it, however often a document has the term.
-    cells = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("at") / reach) + d))
-    near = here.join(_sized(ranked.select("wid", "tid").distinct()), "wid").select("*", cells.alias("cell"))
-    spans = _sized(ranked.select("n", "tid").distinct())
-    at = local.join(spans, "tid").select(F.col("k").alias("pk"), F.col("doc_id").alias("id"), F.col("tid").alias("ptid"), F.col("n").alias("pn"), "pos", F.floor(F.col("pos") / reach).alias("pcell"))
-    same = (F.col("k") == F.col("pk")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tid") == F.col("ptid")) & (F.col("n") == F.col("pn")) & (F.col("cell") == F.col("pcell"))
-    met = near.join(at, same & (F.abs(F.col("pos") - F.col("at")) < reach))
-    first = F.greatest(F.col("pos"), F.col("at")) - reach + 1
-    stretch = met.select("k", "doc_id", "wid", "tid", F.explode(F.sequence(first, F.least("pos", "at"))).alias("s")).distinct()
-    full = stretch.groupBy("k", "doc_id", "wid", "s").agg(F.count(F.lit(1)).alias("met"))
-    need = ranked.groupBy("wid").agg(F.count_distinct("tid").alias("need"))
-    return full.join(need, "wid").filter("met = need").select("k", "doc_id", "wid").distinct()
+    at = ranked.select("wid", "n", F.explode(F.filter("at", lambda x: x["tid"] == F.col("tids")[0])).alias("x"))
+    starts = leads.join(at, "wid").select("k", "doc_id", "wid", "n", (F.col("lead") - F.col("x.off")).alias("start")).filter("start >= 0").distinct()
+    wanted = starts.join(ranked.select("wid", F.explode("at").alias("x")), "wid").select("k", "doc_id", "wid", "n", "start", F.col("x.tid").alias("tid"), (F.col("start") + F.col("x.off")).alias("place"))
+    met = wanted.join(local, _same() & (F.col("place") == F.col("pos"))).groupBy("k", "doc_id", "wid", "n", "start").agg(F.count(F.lit(1)).alias("met"))
+    return stash(met.filter(F.col("met") == F.col("n")).drop("met"), "phrases")
 
 
-def _of(docs: DataFrame, wins: Windows) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    index = build_index(docs.select("doc_id", "text"), wins.terms)
-    ranked = ranked_places(index, wins.places)
-    leads = _leads(index, ranked)
-    return index, ranked, leads, _of_leads(index, leads)
+def proximity_matches(local: DataFrame, ranked: DataFrame, leads: DataFrame, window: int, slop: int) -> DataFrame:
+    """``(k, doc_id, wid)``: all terms of the window within ``n + slop`` consecutive
+    words, one of them at a lead."""
+    reach, wide = F.col("n") + slop, 4 * (window + slop)
+    cell = lambda c: F.floor(c / wide)
+    cells = F.explode(F.array_distinct(F.array(cell(F.col("lead") - window - slop), cell(F.col("lead") + window + slop))))
+    near = leads.join(ranked.select("wid", "n", F.explode("tids").alias("tid")), "wid").withColumn("cell", cells)
+    met = near.join(local.withColumn("pcell", cell(F.col("pos"))), _same() & (F.col("cell") == F.col("pcell")) & (F.abs(F.col("pos") - F.col("lead")) < reach))
+    starts = F.explode(F.sequence(F.greatest("pos", "lead") - reach + 1, F.least("pos", "lead")))
+    stretch = met.select("k", "doc_id", "wid", "tid", starts.alias("s")).distinct()
+    full = stretch.groupBy("k", "doc_id", "wid", "s").agg(F.count(F.lit(1)).alias("met"))
+    return full.join(ranked.select("wid", F.size("tids").alias("need")), "wid").filter("met = need").select("k", "doc_id", "wid").distinct()
+
+
+class Search:
+    """The benchmark's windows looked up in ``docs``."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = 8, slop: int = SLOP):
+        docs = docs.select("doc_id", "text")
+        self.window, self.slop = window, slop
+        wins = Windows(benchmark, window)
+        self.owners = wins.owners
+        self.ranked = ranked_windows(wins.places, document_frequency(docs, wins.terms))
+        rare = self.ranked.select(F.explode(F.slice("tids", 1, RARE)).alias("tid")).union(benchmark.sparkSession.range(1).select(F.lit(CLOSE_ID).cast("long"))).distinct()
+        self.index = build_index(docs, _sized(stash(wins.terms.join(rare, "tid", "left_semi").select("term", "tid"), "rare")))
+        self.leads = leads_of(self.index, self.ranked, window + slop)
+        self.local = postings_of(docs, self.leads, wins.terms)
+        self.phrases = phrase_matches(self.local, self.ranked, self.leads)
+
+    def items(self) -> DataFrame:
+        """``(k, doc_id, item_id)``: items of which a window occurs."""
+        return self.phrases.select("k", "doc_id", "wid").distinct().join(self.owners, "wid").select("k", "doc_id", "item_id").distinct()
+
+    def near_items(self, exact: DataFrame) -> DataFrame:
+        """Items of which no window occurs, but one does by proximity."""
+        known = exact.select(F.col("k").alias("ek"), F.col("doc_id").alias("edoc"), F.col("item_id").alias("eitem"))
+        same = (F.col("k") == F.col("ek")) & F.col("doc_id").eqNullSafe(F.col("edoc")) & (F.col("item_id") == F.col("eitem"))
+        owners = self.owners
+        open_ = self.leads.join(owners, "wid").join(known, same, "left_anti").drop("item_id").distinct()
+        found = proximity_matches(self.local, self.ranked, open_, self.window, self.slop)
+        return found.join(owners, "wid").join(known, same, "left_anti").select("k", "doc_id", "item_id").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, slop: int = SLOP) -> DataFrame:
     """Per document: ``doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated`` (at least ``min_items`` items have an occurring window), and
     ``n_near``: items of which no window occurs, but one does by proximity."""
-    wins = Windows(benchmark, window)
-    index, ranked, leads, local = _of(docs, wins)
-    hits = phrase_matches(index, ranked, leads, local)
-    by_item = stash(hits.select("k", "doc_id", "wid").distinct().join(_sized(wins.owners), "wid").select("k", "doc_id", "item_id").distinct(), "items")
-    covered = (
-        hits.select("k", "doc_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at"))
-        .distinct()
-        .groupBy("k", "doc_id")
-        .agg(F.count(F.lit(1)).alias("n_hit"))
-    )
-    items = by_item.groupBy("k", "doc_id").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    # Only leads of items that a document does not have exactly can be near ones.
-    exact = by_item.select(F.col("k").alias("ek"), F.col("doc_id").alias("eid"), F.col("item_id").alias("eitem"))
-    owners, not_exact = _sized(wins.owners), (F.col("k") == F.col("ek")) & F.col("doc_id").eqNullSafe(F.col("eid")) & (F.col("item_id") == F.col("eitem"))
-    others = stash(leads.join(owners, "wid").join(exact, not_exact, "left_anti"), "others")
-    near = proximity_matches(ranked, others.drop("item_id").distinct(), local, slop).join(owners, "wid").join(exact, not_exact, "left_anti")
-    near = near.select("k", "doc_id", "item_id").distinct().groupBy("k", "doc_id").agg(F.count(F.lit(1)).alias("n_near"))
-    parts = [covered.select("k", "doc_id", "n_hit", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("long").alias("n_near")), items.select("k", "doc_id", F.lit(None).cast("long").alias("n_hit"), "items", F.lit(None).cast("long").alias("n_near")), near.select("k", "doc_id", F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"), "n_near")]
-    got = parts[0].union(parts[1]).union(parts[2]).groupBy(F.col("k").alias("fk"), F.col("doc_id").alias("fid")).agg(*[F.max(c).alias(c) for c in ("n_hit", "items", "n_near")])
-    base = index.filter(F.col("tid") == CLOSE_ID).select("k", "doc_id", F.col("pos").cast("long").alias("n_words"))
+    s = Search(docs, benchmark, window, slop)
+    exact = stash(s.items(), "items")
+    places = s.phrases.select("k", "doc_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at")).distinct()
+    none = {"n_hit": F.lit(None).cast("long"), "items": F.lit(None).cast("array<string>"), "n_near": F.lit(None).cast("long")}
+    told = lambda df, name, agg: df.groupBy("k", "doc_id").agg(agg.alias("x")).select(F.col("k").alias("fk"), F.col("doc_id").alias("fid"), *[(F.col("x") if c == name else none[c]).alias(c) for c in none])
+    got = told(places, "n_hit", F.count(F.lit(1))).union(told(exact, "items", F.array_sort(F.collect_list(F.col("item_id").cast("string"))))).union(told(s.near_items(exact), "n_near", F.count(F.lit(1))))
+    got = got.groupBy("fk", "fid").agg(*[F.max(c).alias(c) for c in none])
+    base = s.index.filter(F.col("tid") == CLOSE_ID).select("k", "doc_id", F.col("pos").cast("long").alias("n_words"))
     n_items = F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long")
-    return base.join(stash(got, "found"), (F.col("k") == F.col("fk")) & F.col("doc_id").eqNullSafe(F.col("fid")), "left").select(
+    return base.join(got, (F.col("k") == F.col("fk")) & F.col("doc_id").eqNullSafe(F.col("fid")), "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -191,9 +228,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, mi
     """``docs`` (``doc_id``, ``text`` and any other columns) without the rows that
     hold a window of ``min_items`` items or more: one passage is enough. What is
     joined back is one small row per contaminated text."""
-    wins = Windows(benchmark, window)
-    hits = phrase_matches(*_of(docs, wins))
-    items = hits.select("k", "doc_id", "wid").distinct().join(_sized(wins.owners), "wid").select("k", "doc_id", "item_id").distinct().groupBy("k", "doc_id").agg(F.count(F.lit(1)).alias("items"))
+    items = Search(docs, benchmark, window).items().groupBy("k", "doc_id").agg(F.count(F.lit(1)).alias("items"))
     bad = _sized(stash(items.filter(F.col("items") >= min_items).select(F.col("k").alias("bk"), F.col("doc_id").alias("bid")), "contaminated"))
     # One struct holds the row, so no column of it can clash with ours.
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("k"), F.col("doc_id").alias("id"))

@@ -130,16 +130,16 @@ def test_decontaminate(spark):
 
 def test_index_and_proximity(spark):
     docs = frame(spark, [(1, "a b c a"), (2, "c x b y a"), (3, None), (4, "a b x x c")])
-    wins = decontaminate.Windows(spark.createDataFrame([(9, "a b c")], "item_id long, text string"))
+    items = spark.createDataFrame([(9, "a b c")], "item_id long, text string")
+    wins = decontaminate.Windows(items)
     index = decontaminate.build_index(docs, wins.terms)
     name = {r.tid: r.term for r in wins.terms.collect()} | {decontaminate.CLOSE_ID: "end"}
+    assert len(name) == 4
     assert {(r.doc_id, name[r.tid], r.pos) for r in index.collect()} == {(1, "a", 0), (1, "b", 1), (1, "c", 2), (1, "a", 3), (1, "end", 4), (2, "c", 0), (2, "b", 2), (2, "a", 4), (2, "end", 5), (3, "end", 0), (4, "a", 0), (4, "b", 1), (4, "c", 4), (4, "end", 5)}
-    ranked = decontaminate.ranked_places(index, wins.places)
-    leads = decontaminate._leads(index, ranked)
-    local = decontaminate._of_leads(index, leads)
-    assert {(r.doc_id, r.start) for r in decontaminate.phrase_matches(index, ranked, leads, local).collect()} == {(1, 0)}
-    assert {r.doc_id for r in decontaminate.proximity_matches(ranked, leads, local).collect()} == {1, 2, 4}
-    assert {r.doc_id for r in decontaminate.proximity_matches(ranked, leads, local, 1).collect()} == {1}
+    for slop, want in ((2, {1, 2, 4}), (1, {1})):
+        found = decontaminate.Search(docs, items, 8, slop)
+        assert {(r.doc_id, r.start) for r in found.phrases.collect()} == {(1, 0)}
+        assert {r.doc_id for r in decontaminate.proximity_matches(found.local, found.ranked, found.leads, 8, slop).collect()} == want
 
 
 def lm_corpus():
