@@ -15,13 +15,16 @@ def _each(m: int, text: str) -> str:
     return ", ".join(text.format(d=d) for d in range(m))
 
 
-def tree(points: str, leafsize: str, levels: int, periodic: list[bool] | bool = False, sliding: bool = False) -> str:
+def tree(points: str, leafsize: str, levels: int, periodic: list[bool] | bool = False, sliding: bool = False, root: dict | None = None) -> str:
     """CTEs ``pts``, ``nodes`` and ``leaves``. A row per point carries its node's
-    state; each level splits the nodes that are not leaves."""
+    state; each level splits the nodes that are not leaves. ``root`` replaces the
+    state of the first node (mn, mx, le, re, pl, pr by dimension)."""
     source, m = POINTS[points]
     flags = [periodic] * m if isinstance(periodic, bool) else periodic
-    root = f"SELECT p.*, ''::VARCHAR AS path, count(*) OVER () AS n, {_each(m, 'min(c{d}) OVER () AS mn{d}, max(c{d}) OVER () AS mx{d}, min(c{d}) OVER () AS le{d}, max(c{d}) OVER () AS re{d}')}, " + ", ".join(f"{str(f).lower()} AS pl{d}, {str(f).lower()} AS pr{d}, NULL::VARCHAR AS lp{d}, NULL::VARCHAR AS rp{d}" for d, f in enumerate(flags)) + " FROM p"
-    out = [f"p AS MATERIALIZED ({source})", f"s0 AS MATERIALIZED ({root})"]
+    own = lambda k, d, else_: else_ if root is None else f"{str(root[k][d]).lower()}{'' if k[0] == 'p' else '::DOUBLE'}"
+    first = [(k, d, e) for d, f in enumerate(flags) for k, e in (("mn", f"min(c{d}) OVER ()"), ("mx", f"max(c{d}) OVER ()"), ("le", f"min(c{d}) OVER ()"), ("re", f"max(c{d}) OVER ()"), ("pl", str(f).lower()), ("pr", str(f).lower()))]
+    root_ = "SELECT p.*, ''::VARCHAR AS path, count(*) OVER () AS n, " + ", ".join(f"{own(k, d, e)} AS {k}{d}" for k, d, e in first) + ", " + _each(m, "NULL::VARCHAR AS lp{d}, NULL::VARCHAR AS rp{d}") + " FROM p"
+    out = [f"p AS MATERIALIZED ({source})", f"s0 AS MATERIALIZED ({root_})"]
     spread = _each(m, "mx{d} - mn{d}")
     widest = "CASE " + " ".join(f"WHEN mx{d} - mn{d} = greatest({spread}) THEN {d}" for d in range(m)) + " END"
     pick = lambda t: "CASE d " + " ".join(f"WHEN {d} THEN {t.format(d=d)}" for d in range(m)) + " END"
@@ -133,7 +136,9 @@ def oracle_sql() -> dict[str, str]:
     ev, m3 = POINTS["events"]
     dom = ", dom AS (SELECT min(c0) AS l0, max(c0) AS r0, min(c1) AS l1, max(c1) AS r1 FROM p)"
     qw = f", qw AS (SELECT point_id, {_wrap('x', 'l0', 'r0')} AS x, {_wrap('y', 'l1', 'r1')} AS y FROM q, dom)"
-    seg = " UNION ALL ".join(f"SELECT leaf_id, {i}::INTEGER AS seg, {a} AS x0, {b} AS y0, {c} AS x1, {d} AS y1 FROM leaves" for i, (a, b, c, d) in enumerate((("le0", "le1", "re0", "le1"), ("re0", "le1", "re0", "re1"), ("le0", "re1", "re0", "re1"), ("le0", "le1", "le0", "re1"))))
+    sides = (("le0", "le1", "re0", "le1"), ("re0", "le1", "re0", "re1"), ("le0", "re1", "re0", "re1"), ("le0", "le1", "le0", "re1"))
+    seg = " UNION ALL ".join(f"SELECT leaf_id, {i}::INTEGER AS seg, {a} AS x0, {b} AS y0, {c} AS x1, {d} AS y1 FROM leaves" for i, (a, b, c, d) in enumerate(sides))
+    asked = "(0, 100::DOUBLE, 50::DOUBLE), (1, 250.5::DOUBLE, 100.25::DOUBLE), (2, 42::DOUBLE, 7::DOUBLE), (3, -1::DOUBLE, 50::DOUBLE), (4, 100::DOUBLE, 1e9::DOUBLE), (5, 100::DOUBLE, NULL::DOUBLE)"
     stored = f"{part}, w AS (SELECT pts.point_id, l.leaf_id AS stored, h.leaf_id AS found FROM pts JOIN leaves l USING (path) LEFT JOIN leaves h ON c0 >= h.le0 AND c0 < h.re0 AND c1 >= h.le1 AND c1 < h.re1) SELECT count(*) FILTER (found IS NULL) AS outside, count(*) FILTER (found <> stored) AS moved FROM w"
     depth = "length(path)::INTEGER AS depth"
     begin = "(SELECT min(start_idx) FROM leaves l WHERE starts_with(l.path, nodes.path))::BIGINT AS start_idx"
@@ -175,7 +180,7 @@ def oracle_sql() -> dict[str, str]:
         "neighbors_periodic_3d": f"{events_wrap}{_sides(_adjacent(3, [True, True, False]))} SELECT * FROM nb",
         "all_neighbors": f"{wrapped}{_sides(_adjacent(2, [True] * 2))} SELECT DISTINCT leaf_id, neighbor_id FROM nb",
         "neighbor_lists": f"{slide}{_sides(_adjacent(2, [False] * 2))}, u AS (SELECT DISTINCT leaf_id, neighbor_id FROM nb) SELECT leaves.leaf_id, coalesce(string_agg(neighbor_id::VARCHAR, ',' ORDER BY neighbor_id), '') AS neighbors FROM leaves LEFT JOIN u USING (leaf_id) GROUP BY leaves.leaf_id",
-        "neighbor_ids_of_positions": f"{orders}{_sides(_adjacent(2, [False] * 2))}, {Q}, here AS ({_located()} WHERE q.point_id % 97 = 0) SELECT DISTINCT point_id, neighbor_id FROM here JOIN nb USING (leaf_id)",
+        "neighbor_ids_of_positions": f"{orders}{_sides(_adjacent(2, [False] * 2))}, {Q}, here AS ({_located()}) SELECT DISTINCT point_id, neighbor_id FROM here JOIN nb USING (leaf_id)",
         "box_overlap": f"{part} SELECT a.leaf_id, b.leaf_id AS other_id FROM leaves a JOIN leaves b ON a.leaf_id < b.leaf_id AND {_touch(2, -1)}",
         "distribute_blocks": f"{_blocks()} SELECT point_id, block FROM bl",
         "pivot_of_blocks": f"{_blocks()}, md AS (SELECT block, quantile_disc(c0, 0.5) AS m FROM bl GROUP BY block) SELECT quantile_disc(m, 0.5) AS pivot FROM md",
@@ -187,5 +192,14 @@ def oracle_sql() -> dict[str, str]:
         "kd_regions": f"{kd} SELECT {bits} AS worker, npts::BIGINT AS npts, {_box(3)}, {_each(3, 'pl{d}, pr{d}')} FROM leaves",
         "subtree_adjacency": f"{kd_plain}{_sides(_adjacent(3, [False] * 3))} SELECT * FROM nb",
         "save_load_roundtrip": f"{customer} {_leaves(2)}",
+        "save_load_membership": f"{customer}, {member} SELECT point_id, leaf_id, idx_pos FROM m",
+        "consolidated_tree": f"{customer}{_sides(_adjacent(2, [False] * 2))}, {member}, u AS (SELECT DISTINCT leaf_id, neighbor_id FROM nb), s AS (SELECT leaf_id, string_agg(neighbor_id::VARCHAR, ',' ORDER BY neighbor_id) AS neighbors FROM u GROUP BY leaf_id), i AS (SELECT leaf_id, min(point_id) AS first_id, max(point_id) AS last_id, sum(point_id)::BIGINT AS sum_ids FROM m GROUP BY leaf_id) SELECT leaf_id, npts::BIGINT AS npts, start_idx, (start_idx + npts)::BIGINT AS stop_idx, first_id, last_id, sum_ids, coalesce(neighbors, '') AS neighbors FROM leaves JOIN i USING (leaf_id) LEFT JOIN s USING (leaf_id)",
+        "get_position": f"{orders}, a(k, x, y) AS (VALUES {asked}) SELECT k::INTEGER AS k, leaf_id, npts::BIGINT AS npts, CASE WHEN leaf_id IS NOT NULL THEN true END AS same_locally, CASE WHEN y IS NULL THEN 'AssertionError' WHEN leaf_id IS NULL THEN 'ValueError' END AS error FROM a LEFT JOIN leaves ON x >= le0 AND x < re0 AND y >= le1 AND y < re1",
+        "make_tree_nproc": f"{orders} {_leaves(2)}",
+        "tree_partial_domain": f"{tree('part', '60', 11, root={'mn': [0.0, 800.0], 'mx': [1200.0, 2200.0], 'le': [-50.0, 700.0], 're': [1300.0, 2500.0], 'pl': [True, False], 'pr': [False, True]})} {_leaves(2)}",
+        "tree_equality": "SELECT * FROM (VALUES ('other subtrees', true, ''), ('other subtrees', false, ''), ('other flags', true, 'periodic,leaves'), ('other flags', false, 'periodic,leaves')) t(pair, strict, differences)",
+        "tree_errors": "SELECT * FROM (VALUES ('leafsize below 2', 'ValueError'), ('edges of another length', 'ValueError'), ('flags of another length', 'ValueError'), ('no points', 'ValueError'), ('null coordinate', 'ValueError'), ('leaf out of range', 'IndexError'), ('rank out of range', 'IndexError'), ('split rank out of range', 'ValueError'), ('version of another tree', 'OSError'), ('too large for one place', 'ValueError')) t(what, error)",
+        "tree_repr": f"{orders} SELECT 'TreeModel(' || sum(npts)::BIGINT || ' points, 2 dimensions, ' || count(*) || ' leaves)' AS text FROM leaves",
+        "leaf_labels": f"{orders}, t AS (SELECT *, {top4} AS subtree FROM leaves, (SELECT count(*) AS n0 FROM p)) " + " UNION ALL ".join(f"SELECT leaf_id, subtree AS label, {i}::INTEGER AS seg, {a} AS x0, {b} AS y0, {c} AS x1, {d} AS y1 FROM t" for i, (a, b, c, d) in enumerate(sides)),
         "leaf_segments": f"{customer} {seg}",
     }

@@ -9,10 +9,13 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxwood import make_tree
 from boxwood.functions.boxes import wrap
 from boxwood.functions.points import PointSet, arg_extreme, bounds_df
 from boxwood.operators import adjacency, distribute, locate, ordering
+from boxwood.operators.consolidate import consolidate
 from boxwood.plans.build import build
+from boxwood.plans.local import State
 from boxwood.plans.model import TreeModel
 from boxwood.plans.stage import shared_dir
 from boxwood.sources import segments, store
@@ -122,8 +125,7 @@ def _neighbors(name: str) -> Query:
 
 
 def _neighbor_ids(spark, sf):
-    some = _positions(spark, sf).filter("point_id % 97 = 0")
-    return adjacency.neighbor_ids(tree(spark, sf, "orders"), some, ["x", "y"]).select("point_id", "neighbor_id")
+    return adjacency.neighbor_ids(tree(spark, sf, "orders"), _positions(spark, sf), ["x", "y"]).select("point_id", "neighbor_id")
 
 
 def _neighbor_lists(spark, sf):
@@ -153,18 +155,95 @@ def _subtrees(spark, sf):
 
 
 def _round_trip(spark, sf):
+    return flat(_loaded(spark, sf).leaves, 2, "leaf_id", "path", "npts", "start_idx", "stop_idx", flags=True)
+
+
+def _loaded(spark, sf) -> TreeModel:
     path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
     store.save(tree(spark, sf, "customer"), path, data_version=7)
-    t = store.load(spark, path, 7)
+    return store.load(spark, path, 7)
+
+
+def _consolidated(spark, sf):
+    t = consolidate(tree(spark, sf, "customer"))
+    ids = lambda k: t.leaf_idx(k).tolist()
+    rows = [(x.leaf_id, x.npts, x.start_idx, x.stop_idx, min(ids(k)), max(ids(k)), sum(ids(k)), ",".join(map(str, t.near[k]))) for k, x in enumerate(t.leaves)]
+    return spark.createDataFrame(rows, "leaf_id int, npts long, start_idx long, stop_idx long, first_id long, last_id long, sum_ids long, neighbors string")
+
+
+#: Positions asked one by one, some outside, one of the wrong length.
+ASKED = ([100.0, 50.0], [250.5, 100.25], [42.0, 7.0], [-1.0, 50.0], [100.0, 1e9], [100.0])
+
+
+def _get(spark, sf):
+    t, local = tree(spark, sf, "orders"), consolidate(tree(spark, sf, "orders"))
+    rows = []
+    for k, position in enumerate(ASKED):
+        try:
+            leaf = locate.get(t, position)
+            rows.append((k, leaf.leaf_id, leaf.npts, local.get(position) == leaf, None))
+        except (ValueError, AssertionError) as e:
+            rows.append((k, None, None, None, type(e).__name__))
+    return spark.createDataFrame(rows, "k int, leaf_id int, npts long, same_locally boolean, error string")
+
+
+def _nproc(spark, sf):
+    t = make_tree(point_set(spark, sf, "orders"), nproc=4, leafsize=500)
     return flat(t.leaves, 2, "leaf_id", "path", "npts", "start_idx", "stop_idx", flags=True)
 
 
+#: A node of a larger domain: its split bounds, box, and flags of either side.
+PARTIAL = State("", (0.0, 800.0), (1200.0, 2200.0), (-50.0, 700.0), (1300.0, 2500.0), (True, False), (False, True), (None, None), (None, None))
+
+
+def _partial(spark, sf):
+    t = build(point_set(spark, sf, "part"), leafsize=60, start=PARTIAL)
+    return flat(t.leaves, 2, "leaf_id", "path", "npts", "start_idx", "stop_idx", flags=True)
+
+
+def _equality(spark, sf):
+    a, b, c = (build(point_set(spark, sf, "customer"), **how) for how in ({"leafsize": 100}, {"leafsize": 100, "subtree_points": 200}, {"leafsize": 100, "periodic": True}))
+    rows = [(name, strict, ",".join(x.differences(y, strict))) for name, x, y in (("other subtrees", a, b), ("other flags", a, c)) for strict in (True, False)]
+    return spark.createDataFrame(rows, "pair string, strict boolean, differences string")
+
+
+def _errors(spark, sf):
+    points = point_set(spark, sf, "customer")
+    t = tree(spark, sf, "customer")
+    path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    store.save(t, path, data_version=3)
+    cases = {
+        "leafsize below 2": lambda: build(points, leafsize=1),
+        "edges of another length": lambda: build(points, left_edge=[0.0]),
+        "flags of another length": lambda: build(points, periodic=[True]),
+        "no points": lambda: build(PointSet(points.df.limit(0), 2)),
+        "null coordinate": lambda: build(PointSet(points.df.withColumn("c0", F.lit(None).cast("double")), 2)),
+        "leaf out of range": lambda: t.leaf_idx(t.num_leaves),
+        "rank out of range": lambda: ordering.select(points, 0, 10**9),
+        "split rank out of range": lambda: distribute.redistribute(points, 5, 5),
+        "version of another tree": lambda: store.load(spark, path, 4),
+        "too large for one place": lambda: consolidate(t, 10),
+    }
+    rows = []
+    for name, run in cases.items():
+        try:
+            run()
+            rows.append((name, None))
+        except (ValueError, IndexError, OSError) as e:
+            rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "what string, error string")
+
+
+def _labels(spark, sf):
+    t = build(point_set(spark, sf, "orders"), leafsize=500, subtree_points=4000)
+    return segments.leaf_segments(t.leaves)
+
+
 def _pivot(spark, sf):
     q, value, point = ordering.pivot(point_set(spark, sf, "customer"), 0)
     return spark.createDataFrame([(q, value, point)], "q long, value double, point_id long")
 
 
-
 @lru_cache(1)
 def queries() -> dict[str, Query]:
     ps = point_set
@@ -217,5 +296,14 @@ def queries() -> dict[str, Query]:
         "kd_regions": _kd_regions,
         "subtree_adjacency": _kd_adjacency,
         "save_load_roundtrip": _round_trip,
+        "save_load_membership": lambda s, d: _loaded(s, d).membership,
+        "consolidated_tree": _consolidated,
+        "get_position": _get,
+        "make_tree_nproc": _nproc,
+        "tree_partial_domain": _partial,
+        "tree_equality": _equality,
+        "tree_errors": _errors,
+        "tree_repr": lambda s, d: s.createDataFrame([(repr(tree(s, d, "orders")),)], "text string"),
+        "leaf_labels": _labels,
         "leaf_segments": lambda s, d: segments.leaf_segments(tree(s, d, "customer").leaves).drop("label"),
     }

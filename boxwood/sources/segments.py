@@ -18,6 +18,25 @@ def leaf_segments(boxes: DataFrame) -> DataFrame:
     return boxes.select("leaf_id", label.alias("label"), F.explode(sides).alias("s")).select("leaf_id", "label", "s.*")
 
 
+def svg(tree: TreeModel, points: DataFrame | None = None, label_boxes: bool = False, width: int = 600, most: int = 100_000) -> str:
+    """A drawing of at most ``most`` leaves and points of a two-dimensional tree,
+    without any plotting library."""
+    if tree.ndim != 2:
+        raise ValueError("only trees of two dimensions are drawn")
+    (x0, y0), (w, h) = tree.left_edge, (max(v, 1e-300) for v in tree.domain_width)
+    height = max(1, round(width * h / w)) if h / w < 10 else 10 * width
+    at = lambda x, y: (round((x - x0) / w * width, 2), round(height - (y - y0) / h * height, 2))
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">']
+    if points is not None:
+        out += [f'<circle cx="{cx}" cy="{cy}" r="1"/>' for cx, cy in (at(r.c0, r.c1) for r in points.select("c0", "c1").limit(most).collect())]
+    for r in leaf_segments(tree.leaves).limit(4 * most).collect():
+        (a, b), (c, d) = at(r.x0, r.y0), at(r.x1, r.y1)
+        out.append(f'<line x1="{a}" y1="{b}" x2="{c}" y2="{d}" stroke="black"/>')
+        if label_boxes and r.seg == 0:
+            out.append(f'<text x="{a}" y="{b}" font-size="8">{r.leaf_id if r.label is None else f"{r.leaf_id} {r.label}"}</text>')
+    return "\n".join([*out, "</svg>"])
+
+
 def plot2d(tree: TreeModel, points: DataFrame | None = None, file: str | None = None, label_boxes: bool = False, most: int = 100_000):
     """Draws at most ``most`` leaves and points with matplotlib, if it is there."""
     if tree.ndim != 2:

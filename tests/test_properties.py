@@ -116,6 +116,64 @@ def test_selection_in_rounds(spark, monkeypatch, rows):
         kth(p.df, "c0", 2001)
 
 
+@pytest.mark.parametrize("values", [1, 2, 3, 10])
+def test_every_rank_of_tied_values(spark, monkeypatch, values):
+    from boxwood.plans import select
+
+    monkeypatch.setattr(select, "BRACKET_ROWS", 3)
+    n = 24
+    rows = [(i * 7 % 29, float(i * 5 % values)) for i in range(n)]
+    order = sorted((v, i) for i, v in rows)
+    # A group for each rank, all of the same rows.
+    d = spark.createDataFrame([(str(k), v, i) for k in range(1, n + 1) for i, v in rows], "g string, v double, i long")
+    got = select.kth_by_group(d, {str(k): (k, n) for k in range(1, n + 1)})
+    assert [got[str(k)] for k in range(1, n + 1)] == order
+
+
+def test_repeated_points_have_a_rank(spark, monkeypatch):
+    from boxwood.plans import select
+
+    monkeypatch.setattr(select, "BRACKET_ROWS", 3)
+    d = spark.createDataFrame([(1.0, 5)] * 9 + [(2.0, 1)], "v double, point_id long")
+    assert kth(d, "v", 4) == (1.0, 5) and kth(d, "v", 10) == (2.0, 1)
+
+
+@pytest.mark.parametrize("sliding", [False, True])
+@pytest.mark.parametrize("values", [2, 3, 10])
+def test_tree_of_tied_values_beyond_the_bracket(spark, monkeypatch, values, sliding):
+    from boxwood.plans import select
+
+    monkeypatch.setattr(select, "BRACKET_ROWS", 20)
+    n = 400
+    x = np.column_stack([np.arange(n) % values, np.linspace(0, values, n)[np.random.RandomState(1).permutation(n)]]).astype(float)
+    t = build(points(spark, x), leafsize=60, subtree_points=50, use_sliding_midpoint=sliding)
+    nodes = {r.path: r for r in t.nodes.collect()}
+    assert all(r.is_leaf or r.npts == nodes[p + "0"].npts + nodes[p + "1"].npts for p, r in nodes.items())
+    members = t.membership.collect()
+    assert sorted(r.point_id for r in members) == sorted(r.idx_pos for r in members) == list(range(n))
+    sizes = {r.leaf_id: r.npts for r in t.leaves.collect()}
+    assert sizes == {k: sum(r.leaf_id == k for r in members) for k in sizes}
+    assert t.differences(build(points(spark, x), leafsize=60, use_sliding_midpoint=sliding)) == []
+
+
+def test_local_tree(spark):
+    from boxwood.operators.consolidate import consolidate
+
+    x = np.random.RandomState(4).rand(300, 2)
+    t = build(points(spark, x), [0.0, 0.0], [1.0, 1.0], [True, False], leafsize=20)
+    local = consolidate(t)
+    for at in ([0.5, 0.5], [1.25, 0.1], [-0.75, 0.999], [0.0, 0.0]):
+        assert local.get(at) == locate.get(t, at)
+        assert set(local.leaf_idx(local.find(at)).tolist()) == {r.point_id for r in t.leaf_idx(local.find(at)).collect()}
+    assert sorted(local.idx.tolist()) == list(range(300)) and local.neighbor_ids([0.5, 1.0]) == []
+    lists = {r.leaf_id: r.neighbors for r in adjacency.neighbor_lists(t).collect()}
+    assert local.near == [lists[k] for k in range(t.num_leaves)]
+    with pytest.raises(ValueError):
+        local.get([0.5, 1.0])
+    with pytest.raises(AssertionError):
+        local.get([0.5])
+
+
 @pytest.mark.parametrize("size", [3, 4, 5])
 def test_distribution(spark, size):
     x = np.random.RandomState(size).rand(50, 2)
@@ -161,13 +219,17 @@ def test_stream(spark, tmp_path):
 
 
 def test_segments(spark):
-    from boxwood.sources.segments import leaf_segments
+    from boxwood.sources.segments import leaf_segments, svg
 
     t = build(points(spark, np.random.RandomState(1).rand(40, 2)), [0.0, 0.0], [1.0, 1.0], leafsize=10)
     s = leaf_segments(t.leaves).collect()
     assert len(s) == 4 * t.num_leaves and {r.seg for r in s} == {0, 1, 2, 3}
     assert all((r.x0 == r.x1) or (r.y0 == r.y1) for r in s)
     assert repr(t).startswith("TreeModel(40 points")
+    drawn = svg(t, points(spark, np.random.RandomState(1).rand(40, 2)).df, label_boxes=True)
+    assert drawn.count("<line") == 4 * t.num_leaves and drawn.count("<circle") == 40 and drawn.count("<text") == t.num_leaves
+    with pytest.raises(ValueError):
+        svg(build(points(spark, np.random.RandomState(1).rand(40, 3)), leafsize=10))
 
 
 settings.register_profile("quiet", suppress_health_check=[HealthCheck.too_slow])
