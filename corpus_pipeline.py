@@ -3,6 +3,17 @@
 Each stage takes ``(spark, docs, sf_dir)``, works on all that the stage before
 kept, and returns the columns of ``documents``; the last returns token ids. A
 stage's result is written as Parquet to the shared folder and read again.
+
+Defined results
+    null, empty or wordless texts are not toxic, in no group of near copies, hold
+    no benchmark window and no secret; they pass all filters and have no tokens.
+    A null text stays null up to the last stage.
+    rows that agree in id and text: one stays (near-dedup). A null ``doc_id`` comes
+    last where a group's smallest id stays.
+    texts of any length are worked on whole. Extra columns, of any names, stay with
+    their rows up to the last stage. Empty documents: no rows, the same columns.
+    Without labels the toxicity grammar's fixed lexicon is used; without benchmark
+    items nothing is contaminated.
 """
 
 from __future__ import annotations
