@@ -457,6 +457,33 @@ def test_packed_arrays():
     assert (blocks.unpack_bits(blocks.pack_bits(bits)) == bits).all()
 
 
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, k int, own string, row string, id int, _row string, _own string, base string, ids string, comp int, x int"
+
+
+def test_pipeline_on_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    near = " ".join(f"w{i}" for i in range(80))
+    texts = [(1, None), (2, ""), (3, " \n "), (4, near), (5, near + " x"), (4, near), (None, near), (None, None), (6, "x " + item + " y"), (7, 'password = "hunter2hunter2"'), (8, "you idiot, you moron! you stupid scum. you idiot."), (9, "é " * 60000), (2, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0 if t is None else len(t), 1, "a", "b", 2, "c", "d", "e", "f", 3, 4) for i, t in texts], CLASH)
+    seen, ids = docs, [i for i, _ in texts]
+    gone = {"toxicity": [8], "near_dedup": [5, 4, None], "decontaminate": [6], "secrets": [], "bpe": []}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, seen, sf)
+        for i in gone[name]:
+            ids.remove(i)
+        assert sorted(r.doc_id or -1 for r in out.collect()) == sorted(i or -1 for i in ids), name
+        if name == "bpe":
+            assert out.filter("NOT same").isEmpty() and out.filter("doc_id IN (1, 2)").agg(F.max("n_tokens")).first()[0] == 0
+        else:
+            assert out.schema == docs.schema
+            assert stage(spark, docs.limit(0), sf).schema == docs.schema
+            seen = out.cache()
+    assert [r.text for r in seen.filter("doc_id IN (1, 7) OR doc_id IS NULL").orderBy("doc_id").collect()] == [None, None, '[SECRET]"']
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
