@@ -43,6 +43,8 @@ from boxwood.llm.common import stash
 
 END, START = B.U64(0xE3D0C2B1A4958677), B.U64(0x1F2E3D4C5B6A7988)
 PROBES, BITS_PER_ENTRY, PRIOR, ALPHA = 4, 12, 4.0, 0.1
+#: N-grams of a block outweigh its text, so blocks are smaller here.
+BLOCK_BYTES, RANGE_KEYS = 2 << 20, 1 << 19
 BROADCAST_RAW = 64 << 20
 #: The least count of each level; 0 is "not there".
 DOWN = np.array([0, 1, 2, 3, *(x << k for k in range(1, 40) for x in (2, 3))], np.int64)
@@ -153,9 +155,9 @@ def _counts(packed: DataFrame, ranges: int) -> tuple[DataFrame, int, int]:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entry_bits: int = BITS_PER_ENTRY) -> DataFrame:
     """Per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
-    packed = B.pack_blocks(docs, id_col, text_col)
+    packed = B.pack_blocks(docs, id_col, text_col, BLOCK_BYTES)
     total = max(B.raw_size(packed), 1)
-    ranges, gram_ranges = B.ranges_for(total / 20), B.ranges_for(total / 4)
+    ranges, gram_ranges = B.ranges_for(total / 20), B.ranges_for(total / 4, RANGE_KEYS)
     bits = min(64, math.ceil(math.log2(total)) + 20)
     counts, n_train, n_distinct = _counts(packed, ranges)
     shared = total <= BROADCAST_RAW

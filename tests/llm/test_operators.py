@@ -194,7 +194,7 @@ def test_lm_scores(spark, monkeypatch, raw):
 def test_lm_both_ways_agree(spark, monkeypatch):
     one = rows(lm.score(frame(spark, lm_corpus())))
     monkeypatch.setattr(lm, "BROADCAST_RAW", 0)
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 500)
     assert rows(lm.score(frame(spark, lm_corpus()))) == one
 
 
