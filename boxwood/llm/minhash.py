@@ -11,8 +11,9 @@ so thousands of copies are one row from then on. Classes that share a key are
 joined to the key's smallest class; the components of these edges are candidate
 clusters, and a class's whole set goes to its cluster once. There links are
 confirmed exactly, skipping pairs that are already connected. Clusters of more
-than ``GRID`` classes are spread over a grid of part pairs, so no task holds
-more than two parts; confirmed links are joined up by a second components pass.
+than ``GRID`` classes are cut into parts, with the smallest class in each; only
+the classes that are outside the cluster's largest component after that go on to
+meet every part. Confirmed links are joined up by a second components pass.
 
 Defined results
     null, empty or wordless text: 0 shingles, linked with nothing, kept.
@@ -28,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.llm import blocks as B
@@ -132,9 +133,10 @@ def candidate_edges(classes: DataFrame, tables: int) -> DataFrame:
     return with_least(k, "keys").filter("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def link(names: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A forest of links (den * intersection >= num * union) with the components
-    of all links among ``sets``. Pairs already connected are not compared."""
+def link(names: np.ndarray, sets: list[np.ndarray], num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A forest of links (den * intersection >= num * union) that joins what all
+    links among ``sets`` join. Pairs already connected, by the forest so far or by
+    equal labels in ``known``, are not compared."""
     sizes = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -142,7 +144,7 @@ def link(names: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[
     order = np.argsort(sizes, kind="stable")
     rank = np.empty(len(sets), np.int64)
     rank[order] = np.arange(len(sets))
-    comp, out = np.arange(len(sets)), []
+    comp, out = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1], []
     for i in order:
         todo = (comp != comp[i]) & (rank > rank[i]) & (num * sizes <= den * sizes[i])
         if not todo.any():
@@ -161,16 +163,12 @@ def link(names: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[
     return out
 
 
-def grouped(docs: DataFrame, words: int, num: int, den: int, tables: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id, k, n, comp, component``: the row's key, set size, the
-    component it is in (null without words) and that component's smallest id."""
-    sig = signatures(docs, words, tables, id_col, text_col)
-    classes = stash(sig.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
-    clusters = stash(connected(candidate_edges(classes, tables)), "clusters")
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GRID).cast("int").alias("parts"))
-    members = classes.select("cls", "id").join(clusters, F.col("cls") == F.col("node")).join(sizes, "root").select("cls", "id", "root", "parts")
+def _sets_of(docs: DataFrame, members: DataFrame, words: int, id_col: str, text_col: str, more: str = "") -> DataFrame:
+    """``members(cls, id, root, parts, ...)`` with ``shingles``: the set of each class,
+    packed, made from one of its documents."""
+    extra = [f.split()[0] for f in more.split(", ")] if more else []
     source = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).cast("string").alias("text_"))
-    wanted = source.join(members, source.id_.eqNullSafe(members.id)).select("id_", "text_", "cls", "root", "parts")
+    wanted = source.join(members, source.id_.eqNullSafe(members.id)).select("id_", "text_", "cls", "root", "parts", *extra)
 
     def sets(batches):
         B.lean()
@@ -186,21 +184,74 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, tables: int, id_col
                     own[some] = _class_of(values, at[:-1][some])
                 good = np.flatnonzero((n > 0) & (own == want))
                 take = pa.array(good + at0)
-                yield pa.RecordBatch.from_arrays([batch.column(3).take(take), batch.column(4).take(take), batch.column(2).take(take), pa.array([B.pack_sorted(values[at[i] : at[i + 1]]) for i in good], pa.binary())], ["root", "parts", "cls", "shingles"])
+                kept = [batch.column(c).take(take) for c in range(2, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([B.pack_sorted(values[at[i] : at[i + 1]]) for i in good], pa.binary())], ["cls", "root", "parts", *extra, "shingles"])
                 at0 += len(ids)
 
-    shipped = wanted.mapInArrow(sets, "root long, parts int, cls long, shingles binary")
-    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("i"), F.greatest(j, F.col("part")).alias("j")))
-    placed = shipped.withColumn("part", part).withColumn("cell", F.explode(cells)).select("root", "cell.i", "cell.j", "cls", "shingles")
+    return wanted.mapInArrow(sets, "cls long, root long, parts int, " + (more + ", " if more else "") + "shingles binary")
+
+
+def _part(parts: str, seed: int = 0) -> Column:
+    return F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(parts)).cast("int")
+
+
+def _placed_by_part(shipped: DataFrame) -> DataFrame:
+    """``root, i, j, cls, comp, shingles``: each class in its part of the cluster, and
+    the root in all parts: one set that most others of a dense cluster link with."""
+    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
+    at = F.when(F.col("cls") == F.col("root"), everywhere).otherwise(F.array(_part("parts")))
+    return shipped.select("root", F.explode(at).alias("i"), F.lit(0).alias("j"), "cls", F.col("cls").alias("comp"), "shingles")
+
+
+def _across_parts(large: DataFrame, linked: DataFrame) -> DataFrame:
+    """``cls, id, root, parts, comp, part, lane, lanes`` of the classes of clusters of
+    several parts. Those outside the cluster's largest component have a lane, some
+    ``GRID`` to one; only they can have links that are not found yet."""
+    comp = large.join(linked.select(F.col("node").alias("n"), F.col("root").alias("r")), F.col("cls") == F.col("n"), "left").select("cls", "id", "root", "parts", F.coalesce("r", "cls").alias("comp"))
+    sizes = comp.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy("root").agg(F.max(F.struct("size", "comp")).alias("most"), F.sum("size").alias("all"))
+    lanes = most.select("root", F.col("most.comp").alias("main"), F.ceil((F.col("all") - F.col("most.size")) / GRID).cast("int").alias("lanes"))
+    lane = F.when(F.col("comp") != F.col("main"), _part("lanes", 1))
+    return comp.join(lanes, "root").filter("lanes > 0").select("cls", "id", "root", "parts", "comp", _part("parts").alias("part"), lane.alias("lane"), "lanes")
+
+
+def _placed_across(shipped: DataFrame) -> DataFrame:
+    """Every lane meets every part of its cluster in a cell of its own."""
+    as_part = F.transform(F.sequence(F.lit(0), F.col("lanes") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j")))
+    as_lane = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.col("lane").alias("i"), j.alias("j")))
+    cells = F.when(F.col("lane").isNull(), as_part).otherwise(F.array_distinct(F.concat(as_part, as_lane)))
+    return shipped.withColumn("cell", F.explode(cells)).select("root", "cell.i", "cell.j", "cls", "comp", "shingles")
+
+
+def confirmed(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: a forest of the links between classes that share a cell."""
 
     def confirm(t: pa.Table) -> pa.Table:
         B.lean()
         names, first = np.unique(t.column("cls").to_numpy(), return_index=True)
-        got = link(names, [B.unpack_sorted(t.column("shingles")[int(i)].as_py()) for i in first], num, den) if len(names) > 1 else []
+        known = t.column("comp").to_numpy()[first]
+        got = link(names, [B.unpack_sorted(t.column("shingles")[int(i)].as_py()) for i in first], num, den, known) if len(names) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
 
-    linked = connected(placed.groupBy("root", "i", "j").applyInArrow(confirm, "a long, b long"))
+    return placed.groupBy("root", "i", "j").applyInArrow(confirm, "a long, b long")
+
+
+def grouped(docs: DataFrame, words: int, num: int, den: int, tables: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``doc_id, k, n, comp, component``: the row's key, set size, the
+    component it is in (null without words) and that component's smallest id."""
+    sig = signatures(docs, words, tables, id_col, text_col)
+    classes = stash(sig.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    clusters = stash(connected(candidate_edges(classes, tables)), "clusters")
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GRID).cast("int").alias("parts"))
+    members = classes.select("cls", "id").join(clusters, F.col("cls") == F.col("node")).join(sizes, "root").select("cls", "id", "root", "parts")
+    first = stash(confirmed(_placed_by_part(_sets_of(docs, members, words, id_col, text_col)), num, den), "links")
+    linked = connected(first)
+    large = stash(members.filter("parts > 1"), "large")
+    if not large.isEmpty():  # clusters of several parts: what is apart still is compared across parts
+        wide = stash(_across_parts(large, linked), "across")
+        if not wide.filter("lane IS NOT NULL").isEmpty():
+            more = confirmed(_placed_across(_sets_of(docs, wide, words, id_col, text_col, "comp long, part int, lane int, lanes int")), num, den)
+            linked = connected(first.union(more))
     comp = classes.select("cls", "id").join(linked, F.col("cls") == F.col("node"), "left").select("cls", "id", F.coalesce("root", "cls").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("id").alias("component"))
     of = comp.join(least, "comp").select(F.col("cls").alias("c"), "comp", "component")

@@ -252,6 +252,14 @@ def near_corpus():
     return docs + [(500, None), (501, ""), (502, "one"), (503, "ONE"), (504, "one two"), (None, "one two"), (None, docs[0][1]), docs[3], (505, " \n ")]
 
 
+def test_links_across_parts(spark, monkeypatch):
+    """A chain of neighbours: each is near the next, few are near the first."""
+    monkeypatch.setattr(minhash, "GRID", 4)
+    w = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(w[3 * i : 3 * i + 90])) for i in range(60)] + [(100 + i, " ".join(w[:80] + [f"y{i}"])) for i in range(12)]
+    assert rows(minhash.near_duplicates(frame(spark, docs))) == sorted(brute_near(docs), key=repr)
+
+
 @pytest.mark.parametrize("grid", [400, 3])
 def test_near_duplicates(spark, monkeypatch, grid):
     monkeypatch.setattr(minhash, "GRID", grid)
