@@ -40,6 +40,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A stored table of numbers is broadcast up to so many rows (8 bytes a number).
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of a few numeric columns, marked for broadcast if its
+    counted rows allow it. Beyond, Catalyst shuffles both sides of the join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z and nothing else. ``lower`` has a fast ASCII path, so
     strings without multi-byte characters take it."""

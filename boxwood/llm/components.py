@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwood.llm.common import stash
+from boxwood.llm.common import sized, stash
 
 
 def with_least(edges: DataFrame, name: str) -> DataFrame:
     """``edges(u, v)`` with ``m``, the least ``v`` of each ``u``. The least comes from
-    partial sums and is written, so the join back has a plain exchange on either
-    side and a hub's edges are split over tasks."""
-    least = stash(edges.groupBy("u").agg(F.min("v").alias("m")), name)
+    partial sums and is written; the join back broadcasts it while it is small, and
+    beyond has a plain exchange on either side, so a hub's edges are split over tasks."""
+    least = sized(stash(edges.groupBy("u").agg(F.min("v").alias("m")), name))
     return edges.join(least, "u").select("u", "v", "m")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.llm import blocks as B
-from boxwood.llm.common import row_key, stash
+from boxwood.llm.common import row_key, sized, stash
 from boxwood.llm.components import connected, with_least
 
 ROWS, TABLES, GRID, MOST_TABLES = 3, 10, 400, 16
@@ -118,7 +118,7 @@ def shared_values(classes: DataFrame, tables: int) -> DataFrame:
     these few make all the keys that matter."""
     each = classes.select("cls", F.posexplode(F.concat("a", "b")).alias("i", "v"))
     often = stash(each.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("i", "v"), "values")
-    mine = each.join(often, ["i", "v"])
+    mine = each.join(sized(often), ["i", "v"])
     kept = mine.groupBy("cls").agg(F.collect_list(F.struct("i", "v")).alias("x"))
     sides = F.filter("x", lambda y: y["i"] < tables).alias("a"), F.filter("x", lambda y: y["i"] >= tables).alias("b")
     return kept.select("cls", *sides).filter((F.size("a") > 0) & (F.size("b") > 0))
@@ -276,3 +276,18 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, tab
     own = docs.filter(has_words).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("own"), F.col("doc_id").alias("id"))
     kept = own.join(first, (F.col("own") == F.col("_k")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["own", "id"])
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).union(docs.filter(~has_words))
+
+
+#: All pairs that share a shingle, compared exactly, and their components.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT k, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS s FROM d),
+one AS MATERIALIZED (SELECT min(k) AS c, list_sort(s) AS s FROM sh WHERE len(s) > 0 GROUP BY list_sort(s)),
+cls AS MATERIALIZED (SELECT sh.k, one.c FROM sh JOIN one ON list_sort(sh.s) = one.s),
+e AS (SELECT c, len(s) AS n, unnest(s) AS x FROM one),
+link AS MATERIALIZED (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.x = b.x AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT c, c FROM one UNION SELECT r.a, CASE WHEN l.a = r.b THEN l.b ELSE l.a END FROM reach r JOIN link l ON l.a = r.b OR l.b = r.b),
+comp AS (SELECT a AS c, min(b) AS r FROM reach GROUP BY a),
+least AS (SELECT r, min(doc_id) AS component_id FROM cls JOIN comp USING (c) JOIN d USING (k) GROUP BY r)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, CASE WHEN c IS NULL THEN doc_id ELSE component_id END AS component_id, doc_id IS NOT DISTINCT FROM (CASE WHEN c IS NULL THEN doc_id ELSE component_id END) AS kept
+FROM d JOIN sh USING (k) LEFT JOIN cls USING (k) LEFT JOIN comp USING (c) LEFT JOIN least USING (r)"""

@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.SQL, "op2_decontaminate": decontaminate.SQL, "op5_substring_dedup": substring.SQL}
+    return {"op1_secret_scan": secrets.SQL, "op2_decontaminate": decontaminate.SQL, "op4_suffix_dedup": suffixes.SQL, "op5_substring_dedup": substring.SQL, "op6_near_dedup": minhash.SQL}

@@ -123,3 +123,16 @@ def repeated_positions(docs: DataFrame, size: int = 50) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return remove_repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT k, doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS m FROM (SELECT *, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+hit AS (SELECT k, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY m) AS least FROM win) WHERE coalesce(doc_id > least, least IS NOT NULL)),
+isl AS (SELECT k, i, sum(CASE WHEN i <= prev + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS g FROM (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS prev FROM hit)),
+span AS MATERIALIZED (SELECT k, min(i) AS a, max(i) + 50 AS b FROM isl GROUP BY k, g),
+gap AS (SELECT k, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS a, a AS b FROM span UNION ALL SELECT k, max(b), 1000000000 FROM span GROUP BY k),
+rest AS (SELECT k, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM gap JOIN d USING (k) GROUP BY k),
+total AS (SELECT k, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY k)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN total USING (k) LEFT JOIN rest USING (k)"""
