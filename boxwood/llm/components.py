@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from boxwood.llm.common import sized, stash
 
 
-def with_least(edges: DataFrame, name: str) -> DataFrame:
+#: Edges that a task writes; small tables need not be cut into as many files as a
+#: shuffle has partitions.
+TASK_EDGES = 50_000
+
+
+def with_least(edges: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """``edges(u, v)`` with ``m``, the least ``v`` of each ``u``. The least comes from
     partial sums and is written; the join back broadcasts it while it is small, and
     beyond has a plain exchange on either side, so a hub's edges are split over tasks."""
-    least = sized(stash(edges.groupBy("u").agg(F.min("v").alias("m")), name))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = sized(stash(least.coalesce(tasks) if tasks else least, name))
     return edges.join(least, "u").select("u", "v", "m")
 
 
@@ -28,11 +34,12 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         if not told[0]:
             break
+        tasks = -(-2 * told[0] // TASK_EDGES)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, "least").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        small = with_least(stash(large, "large"), "least")
+        large = with_least(both, "least", tasks).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = with_least(stash(large.coalesce(tasks), "large"), "least", tasks)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
-        e = stash(small, "edges")
+        e = stash(small.coalesce(tasks), "edges")
         now = _sum(e)
         if now == told:
             break
