@@ -465,6 +465,30 @@ def test_packed_arrays():
     assert (blocks.unpack_bits(blocks.pack_bits(bits)) == bits).all()
 
 
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    pages = spark.createDataFrame([], "page_id long, url string, html string, text int")
+    assert secrets.digest(none).count() == secrets.redact(none).count() == 0
+    assert bpe.digest(none).count() == bpe.round_trip(none).count() == bpe.decode(bpe.encode(none)).count() == 0
+    assert html.main_text(pages, html.train(pages)).count() == 0
+
+
+def test_long_texts(spark):
+    r = random.Random(12)
+    body = [f"w{r.randrange(3000)}" for _ in range(60000)]
+    item = " ".join(f"i{k}" for k in range(20))
+    long = " ".join(body) + " token=abcdefgh12 " + item
+    docs = frame(spark, [(1, long), (2, " ".join(body[:30000] + ["edit"] + body[30000:])), (3, "x" * 300000), (4, item)])
+    spans = {x.doc_id: x for x in secrets.digest(docs).collect()}
+    at = long.index("token=")
+    assert spans[1].spans == f"assign:{at}:{at + 16}" and spans[3].n_hex == 0
+    found = {x.doc_id: (x.n_words, x.n_hit) for x in decontaminate.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert found == {1: (60022, 20), 2: (60001, 0), 3: (1, 0), 4: (20, 20)}
+    near = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {x.doc_id: x.n_tokens for x in lm.score(docs).collect()} == {1: 60022, 2: 60002, 3: 2, 4: 21}
+
+
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, k int, own string, row string, id int, _row string, _own string, base string, ids string, comp int, x int"
 
 
