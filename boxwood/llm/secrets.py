@@ -56,9 +56,12 @@ def _let(value: Column, body) -> Column:
 def find_all(text: Column, pattern: str, kind: str, order: int, group: int = 0, least: int = 0, gate: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as an array of spans, those whose
     ``group`` is shorter than ``least`` dropped after matching."""
+    # A match has no look-around, so its group is found again in the match alone. What
+    # ``split`` gives after the last match has no match beside it and is not used.
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.zip_with(F.zip_with(found, kept, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"))), F.slice(F.split(text, pattern), 1, F.greatest(F.size(found), F.lit(0))), lambda x, gap: F.struct(x["m"].alias("m"), x["g"].alias("g"), F.length(gap).alias("gap")))
+    size = lambda m: F.length(F.regexp_extract(m, pattern, group) if group else m)
+    pairs = F.zip_with(found, F.split(text, pattern), lambda m, gap: F.struct(m.alias("m"), size(m).alias("g"), F.length(gap).alias("gap")))
+    steps = F.filter(pairs, lambda x: x["m"].isNotNull())
 
     def step(acc: Column, x: Column) -> Column:
         start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + F.length(x["m"])
