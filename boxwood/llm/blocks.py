@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwood.llm.common import stash
+from boxwood.llm.common import small_batches, stash
 
 U64 = np.uint64
 NO_ID = np.iinfo(np.int64).max
@@ -52,14 +52,19 @@ _ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 @cache
-def lean() -> None:
-    """Has a worker hand freed memory back to the system: workers are reused, and
-    what one task needed once would stay with them."""
+def _trim() -> Callable[[int], int]:
     pa.set_memory_pool(pa.system_memory_pool())
-    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
-    if mallopt:  # glibc: arrays from 4 MB on are mapped, the heap's end is trimmed
-        mallopt(-3, 4 << 20)
-        mallopt(-1, 4 << 20)
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # glibc: arrays from 4 MB on are mapped, the heap's end is trimmed
+        libc.mallopt(-3, 4 << 20)
+        libc.mallopt(-1, 4 << 20)
+    return getattr(libc, "malloc_trim", lambda _: 0)
+
+
+def lean() -> None:
+    """Has a worker hand freed memory back to the system, now and from now on:
+    workers are reused, and what a task needed once would stay with them."""
+    _trim()(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -217,7 +222,7 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield out()
 
-    return stash(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "block long, n long, raw long, data binary"), "blocks")
+    return stash(small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "block long, n long, raw long, data binary"), "blocks")
 
 
 def raw_size(blocks: DataFrame) -> int:

@@ -29,6 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxwood.llm.blocks import lean
+from boxwood.llm.common import small_batches
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Code points of a leaf, and of the first window on either side of a seam.
 LEAF, WINDOW = 1 << 10, 32
@@ -107,12 +110,13 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _map(df: DataFrame, schema: str, fields: list[str], make) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        lean()
         for b in batches:
-            for a in range(0, b.num_rows, 512):  # ids of a few texts at a time
-                part = b.slice(a, 512)
+            for a in range(0, b.num_rows, 256):  # ids of a few texts at a time
+                part = b.slice(a, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), *make(part.column(1))], fields)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,6 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows of an Arrow batch. Spark's default of 10000 makes batches of some 35 MB of
+#: text, which are held several times over on either side.
+ARROW_ROWS, _SPARKS_OWN = "1000", "10000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session was told to send small Arrow batches to Python
+    workers, unless it has a setting of its own. Rows and results are the same."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, _SPARKS_OWN) == _SPARKS_OWN:
+        conf.set(key, ARROW_ROWS)
+    return df
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and what a lost executor held is read again rather than computed again. The

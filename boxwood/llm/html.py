@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxwood.llm.common import small_batches
+
 SAMPLE = 150
 #: What opens markup, and what a tag holds up to its ``>``; neither is tried twice at a place.
 OPENS = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
@@ -438,4 +440,4 @@ def main_text(pages: DataFrame, model: Boosted) -> DataFrame:
                 texts = extract(part.column(2).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.llm import blocks as B
-from boxwood.llm.common import row_key, sized, stash
+from boxwood.llm.common import row_key, sized, small_batches, stash
 from boxwood.llm.components import connected, with_least
 
 ROWS, TABLES, GRID, MOST_TABLES = 3, 10, 400, 16
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, words: int, tables: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(at0, len(ids)), pa.array(cls, mask=n == 0), pa.array(n.astype(np.int64)), half(np.ascontiguousarray(sigs[:, :tables])), half(np.ascontiguousarray(sigs[:, tables:]))], ["doc_id", "k", "cls", "n", "a", "b"])
                 at0 += len(ids)
 
-    return stash(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), row_key(id_col, text_col)).mapInArrow(run, "doc_id long, k long, cls long, n long, a array<long>, b array<long>"), "signatures")
+    return stash(small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), row_key(id_col, text_col)).mapInArrow(run, "doc_id long, k long, cls long, n long, a array<long>, b array<long>"), "signatures")
 
 
 def shared_values(classes: DataFrame, tables: int) -> DataFrame:

@@ -43,6 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxwood.llm.blocks import lean
+from boxwood.llm.common import small_batches
+
 SAMPLE, SAMPLE_BYTES, THRESHOLD = 8000, 32 << 20, 0.3
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "worthless", "pathetic", "disgusting")
 THREATS = frozenset("kill hurt destroy murder stab shoot beat töten umbringen verletzen tuer blesser frapper matar herir golpear".split())
@@ -305,12 +308,13 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     """Per row: ``doc_id, held_out, score, predicted``."""
 
     def run(batches):
+        lean()
         for b in batches:
             s = [grammar.score(grammar.features(t.as_py() or "")) for t in b.column(1)]
             out = [is_held_out(i.as_py()) for i in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.bool_()), pa.array(s, pa.float64()), pa.array([int(v >= THRESHOLD) for v in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
@@ -318,8 +322,9 @@ def keep_clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        lean()
         for b in batches:
             fine = [grammar.score(grammar.features(t.as_py() or "")) < THRESHOLD for t in b.column(at)]
             yield b.filter(pa.array(fine, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
