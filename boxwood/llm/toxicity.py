@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.llm.blocks import lean
-from boxwood.llm.common import small_batches
+from boxwood.llm.common import small_batches, stash
 
 SAMPLE, SAMPLE_BYTES, THRESHOLD = 8000, 32 << 20, 0.3
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "worthless", "pathetic", "disgusting")
@@ -281,15 +281,20 @@ def is_held_out(doc_id) -> bool:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """Fit on about ``sample`` labelled rows, or ``SAMPLE_BYTES`` of text if that is
     less, picked by a hash of the id. The result depends on the rows alone, not on
-    their order."""
+    their order. Only ids and numbers are joined by exchange: the picked ids, about
+    ``sample``, are broadcast, and no text but theirs is moved."""
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
     marked = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    usable = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(marked, "doc_id").select("doc_id", "text", "toxic")
-    n, total = usable.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    share = min(1.0, sample / max(n, 1), SAMPLE_BYTES / max(total or 0, 1))
+    known = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    by_id = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    usable = stash(by_id.join(marked, "doc_id").select("doc_id", "n", "size", "toxic"), "toxicity-ids")
+    n, total = usable.agg(F.sum("n"), F.sum("size")).first()
+    share = min(1.0, sample / max(n or 0, 1), SAMPLE_BYTES / max(total or 0, 1))
     some = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else usable
+    picked = known.filter(F.octet_length("text") <= SAMPLE_BYTES // 8).join(F.broadcast(some.select("doc_id", "toxic")), "doc_id")
     label: dict[str, int] = {}
-    for r in some.filter(F.octet_length("text") <= SAMPLE_BYTES // 8).select("text", "toxic").toLocalIterator():
+    # Dealt anew, or each small part of ``docs`` would be read in its turn.
+    for r in picked.select("text", "toxic").hint("rebalance").toLocalIterator():
         label[r.text] = max(label.get(r.text, 0), int(r.toxic))
     texts = sorted(label)
     y = [label[t] for t in texts]

@@ -400,6 +400,44 @@ def test_toxicity(spark):
     assert toxicity.score(spark.createDataFrame([(1, long, 1, "x")], SCHEMA), g).count() == 1
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote for exchanges."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_toxicity_moves_only_the_texts_it_learns_from(spark, monkeypatch):
+    r = random.Random(8)
+    docs = [(i, r.randbytes(8000).hex()) for i in range(400)] + [(5, "twin"), (6, "both ways"), (7, "both ways"), (None, "x"), (401, None), (402, "no label"), (403, "null label")]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(400)] + [(4, 1, 1), (None, 1, 1), (401, 1, 1), (403, 1, None)] + [(i, 1, 1) for i in range(1000, 1200)]
+    bucket = {x.id: x.h for x in spark.range(1200).select("id", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)).alias("h")).collect()}
+    toxic = {}
+    for i, _, y in labels:
+        if i is not None and y is not None and not toxicity.is_held_out(i):
+            toxic[i] = max(y, toxic.get(i, 0))
+    known = [(i, t) for i, t in docs if i in toxic and t is not None]
+    lab, df, got = spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), frame(spark, docs).cache(), []
+    df.count()
+    monkeypatch.setattr(toxicity, "lexicon", lambda texts, y: got.append(dict(zip(texts, y, strict=True))) or (frozenset(), (), frozenset(), ()))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with labels too many to broadcast
+    try:
+        for sample, part in ((40, 0.25), (8000, 0.85)):
+            want = {}
+            for i, t in known:
+                if sample >= len(known) or bucket[i] < int(sample / len(known) * 1_000_000):
+                    want[t] = max(want.get(t, 0), toxic[i])
+            before = shuffled(spark)
+            toxicity.train(df, lab, sample)
+            assert got.pop() == want and 0 < sum(want.values()) < len(want)
+            assert shuffled(spark) - before < part * sum(len(t or "") for _, t in docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+        df.unpersist()
+
+
 def test_grammar_states():
     g = toxicity.Grammar()
     at = lambda t: {f for f, x in zip(toxicity.FEATURES[:-2], g.features(t)) if x}
