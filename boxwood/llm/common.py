@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,20 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write in here go when it ends. Else they stay until the
+    driver happens to collect its garbage, beside those of the writes that follow.
+    A Spark that has no such setting goes on as before."""
+    conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
 #: A stored table of numbers is broadcast up to so many rows (8 bytes a number).
 BROADCAST_ROWS = 500_000
 

@@ -39,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from boxwood.llm import blocks as B
-from boxwood.llm.common import stash
+from boxwood.llm.common import shuffles_freed, stash
 
 END, START = B.U64(0xE3D0C2B1A4958677), B.U64(0x1F2E3D4C5B6A7988)
 PROBES, BITS_PER_ENTRY, PRIOR, ALPHA = 4, 12, 4.0, 0.1
 #: N-grams of a block outweigh its text, so blocks are smaller here.
 BLOCK_BYTES, RANGE_KEYS = 2 << 20, 1 << 19
+#: An array of a block's keys in a range should have so many keys. Ranges grow for
+#: that with the corpus, up to ``MOST_KEYS``, which is what a task has to hold.
+ARRAY_KEYS, MOST_KEYS = 1 << 8, 1 << 22
 BROADCAST_RAW = 64 << 20
 #: The least count of each level; 0 is "not there".
 DOWN = np.array([0, 1, 2, 3, *(x << k for k in range(1, 40) for x in (2, 3))], np.int64)
@@ -127,6 +130,13 @@ def interpolate(p1: np.ndarray, pair: np.ndarray, context: np.ndarray, triple: n
     return (np.minimum(DOWN[triple], UP[history]) + PRIOR * p2) / (UP[history] + PRIOR)
 
 
+def ranges_of(total: int, bytes_a_key: int, each: int) -> int:
+    """Key ranges of about ``each`` keys of all blocks' ``total`` bytes; fewer and
+    larger where a block's arrays would get short."""
+    keys, block = total / bytes_a_key, BLOCK_BYTES / bytes_a_key
+    return B.ranges_for(keys, max(each, min(MOST_KEYS, keys * ARRAY_KEYS / block)))
+
+
 def _counts(packed: DataFrame, ranges: int) -> tuple[DataFrame, int, int]:
     """Answers with each block's words' training counts; N and V."""
 
@@ -135,10 +145,10 @@ def _counts(packed: DataFrame, ranges: int) -> tuple[DataFrame, int, int]:
         u, back = np.unique(_spread(token), return_inverse=True)
         n = np.bincount(back[~held_out(block.ids)[of]], minlength=len(u)).astype(np.int64)
         for i, a, b in B.parts(u, ranges):
-            yield i, (B.pack_sorted(u[a:b]), B.pack_array(n[a:b]))
+            yield i, (B.pack_gaps(u[a:b]), B.pack_array(n[a:b]))
 
     def counted(_, loads):
-        keys = [B.unpack_sorted(a) for a, _ in loads]
+        keys = [B.unpack_gaps(a) for a, _ in loads]
         _, sums, back = _sums(keys, [B.unpack_array(b, np.int64) for _, b in loads])
         each = np.split(sums[back], np.cumsum([len(k) for k in keys])[:-1])
         return [(B.pack_array(p), (int(sums.sum()), int((sums > 0).sum())) if i == 0 else (0, 0)) for i, p in enumerate(each)]
@@ -148,7 +158,8 @@ def _counts(packed: DataFrame, ranges: int) -> tuple[DataFrame, int, int]:
             got = [pickle.loads(x.as_buffer())[1] for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([sum(x for x, _ in got)], pa.int64()), pa.array([sum(y for _, y in got)], pa.int64())], ["n", "v"])
 
-    counts = B.merge(B.send(packed, words), counted, "counts")
+    with shuffles_freed(packed.sparkSession):
+        counts = B.merge(B.send(packed, words), counted, "counts")
     row = counts.select("load").mapInArrow(totals, "n long, v long").groupBy().sum("n", "v").first()
     return counts, row[0] or 0, row[1] or 0
 
@@ -157,7 +168,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entry
     """Per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     packed = B.pack_blocks(docs, id_col, text_col, BLOCK_BYTES)
     total = max(B.raw_size(packed), 1)
-    ranges, gram_ranges = B.ranges_for(total / 20), B.ranges_for(total / 4, RANGE_KEYS)
+    ranges, gram_ranges = ranges_of(total, 20, 1 << 20), ranges_of(total, 4, RANGE_KEYS)
     bits = min(64, math.ceil(math.log2(total)) + 20)
     counts, n_train, n_distinct = _counts(packed, ranges)
     shared = total <= BROADCAST_RAW
@@ -173,10 +184,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entry
         if shared:
             u, n = u[n > 0], n[n > 0]
         for i, a, b in B.parts(u, gram_ranges):
-            yield i, (B.pack_sorted(u[a:b]), B.pack_array(n[a:b].astype(np.uint32)))
+            yield i, (B.pack_gaps(u[a:b], 64 - bits), B.pack_array(n[a:b].astype(np.uint32)))
 
     def segment_of(loads):
-        keys = [B.unpack_sorted(a) for a, _ in loads]
+        keys = [B.unpack_gaps(a) for a, _ in loads]
         u, n, back = _sums(keys, [B.unpack_array(b, np.uint32) for _, b in loads])
         return build_segment(u[n > 0], n[n > 0], entry_bits), u, np.split(back, np.cumsum([len(k) for k in keys])[:-1])
 
@@ -192,12 +203,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entry
 
     sent = B.send(packed, grams)
     if shared:
-        rows = stash(sent.groupBy("bucket").applyInArrow(built, "bucket int, bits binary"), "segments").toLocalIterator()
+        with shuffles_freed(docs.sparkSession):
+            rows = stash(sent.groupBy("bucket").applyInArrow(built, "bucket int, bits binary"), "segments").toLocalIterator()
         held = docs.sparkSession.sparkContext.broadcast({r.bucket: np.frombuffer(bytes(r.bits), np.uint8) for r in rows})
         answered, answers = B.with_answers(packed, counts), 1
     else:
         held = None
-        answered, answers = B.with_answers(packed, counts, B.merge(sent, probed, "levels")), 2
+        with shuffles_freed(docs.sparkSession):
+            levels = B.merge(sent, probed, "levels")
+        answered, answers = B.with_answers(packed, counts, levels), 2
     den = n_train + ALPHA * (n_distinct + 1)
 
     def level_of(u: np.ndarray, i: int, a: int, b: int, told: dict) -> np.ndarray:

@@ -198,6 +198,30 @@ def test_lm_both_ways_agree(spark, monkeypatch):
     assert rows(lm.score(frame(spark, lm_corpus()))) == one
 
 
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(k) for k in range(files.size())) if f.getName().startswith("shuffle_"))
+
+
+@pytest.mark.parametrize("raw", [0, 1 << 30])
+def test_lm_frees_what_it_exchanged(spark, monkeypatch, raw):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    monkeypatch.setattr(lm, "BROADCAST_RAW", raw)
+    docs, had, before = spark.createDataFrame([(i, t, 1, "x") for i, t in lm_corpus()], SCHEMA), spark.conf.get(key), shuffle_bytes(spark)
+    scores = lm.score(docs)
+    assert shuffle_bytes(spark) - before < 2000  # the totals of a few sums
+    assert spark.conf.get(key) == had
+    assert rows(scores) == rows(scores) and scores.count() == len(lm_corpus())
+
+
+def test_lm_arrays_stay_long(monkeypatch):
+    for total in (1, 10**8, 10**9, 5 * 10**10, 10**11):  # bytes of text
+        for each, size in ((20, 1 << 20), (4, lm.RANGE_KEYS)):
+            ranges = lm.ranges_of(total, each, size)
+            assert total / each / ranges <= lm.MOST_KEYS
+            assert min(total, lm.BLOCK_BYTES) / each / ranges >= 50 or total < lm.BLOCK_BYTES
+
+
 def test_lm_sums_stay_below_one():
     model = BruteModel(lm_corpus())
     words = [*model.one, "<unknown>"]
@@ -503,6 +527,20 @@ def test_packed_arrays():
     assert (blocks.unpack_bits(blocks.pack_bits(bits)) == bits).all()
 
 
+def test_packed_gaps():
+    g = np.random.default_rng(0)
+    for n in (0, 1, 2, 3, 8, 9, 1000):
+        for zeros in (0, 14, 40):
+            a = np.sort(g.integers(2**62, 2**63, n, dtype=np.uint64)) >> np.uint64(zeros) << np.uint64(zeros)
+            assert (blocks.unpack_gaps(blocks.pack_gaps(a, zeros)) == a).all() and len(blocks.unpack_gaps(blocks.pack_gaps(a, zeros))) == n
+    for odd in ([0, 2**64 - 1], [0, 0, 1, 2**64 - 1, 2**64 - 1], [*range(5000), 2**63]):
+        a = np.array(odd, np.uint64)
+        assert (blocks.unpack_gaps(blocks.pack_gaps(a)) == a).all()
+    a = np.sort(g.integers(0, 2**36, 1000, dtype=np.uint64)) << np.uint64(14)
+    entropy = (36 - math.log2(1000) + math.log2(math.e)) * 1000 / 8
+    assert len(blocks.pack_gaps(a, 14)) < 1.02 * entropy < len(blocks.pack_sorted(a)) / 1.05
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     pages = spark.createDataFrame([], "page_id long, url string, html string, text int")
