@@ -13,6 +13,10 @@ from boxwood.plans.model import TreeModel
 
 #: Trees of at most this many nodes are broadcast, as flat arrays of about 21 bytes a node.
 BROADCAST_NODES = 2_000_000
+#: Boxes that ``locate_by_box`` compares a position with in one step, and how many
+#: boxes of a step are broadcast (some 100 bytes each).
+BOX_FAN = 64
+BROADCAST_BOXES = 250_000
 
 
 def wrapped(tree: TreeModel, coords: list[Column]) -> list[Column]:
@@ -117,16 +121,33 @@ def _two_step(tree: TreeModel, d: DataFrame, keep: list[str], names: list[str])
 
 
 def locate_by_box(tree: TreeModel, positions: DataFrame, coords: list[str]) -> DataFrame:
-    """The located positions only, by a broadcast range join on the leaf boxes.
-    For small trees whose domain holds all points; it never leaves the JVM."""
-    if tree.num_leaves > 2048:
-        raise ValueError("too many leaves for a range join; use locate")
+    """The located positions only, by range joins on the leaf boxes; it never
+    leaves the JVM. For trees whose domain holds all points.
+
+    A large tree is searched in steps: first the boxes around long runs of leaves,
+    then those around the shorter runs inside the ones found, then the leaves. Leaf
+    ids follow the tree, so a run is a compact part of it and a position meets
+    ``BOX_FAN`` boxes a step, and again for each run beside it that spans a split
+    above. Steps of many boxes are joined by shuffle."""
+    names = [f"_p{d}" for d in range(tree.ndim)]
     at = wrapped(tree, [F.col(c).cast("double") for c in coords])
-    cond = F.lit(True)
-    for d, c in enumerate(at):
-        cond = cond & (c >= F.col("_le")[d]) & (c < F.col("_re")[d])
-    boxes = F.broadcast(tree.leaves.select("leaf_id", F.col("left_edge").alias("_le"), F.col("right_edge").alias("_re")))
-    return positions.join(boxes, cond).select(*positions.columns, "leaf_id")
+    found = positions.withColumns(dict(zip(names, at, strict=True)))
+    sizes = [1]
+    while tree.num_leaves > sizes[0] * BOX_FAN:
+        sizes.insert(0, sizes[0] * BOX_FAN)
+    for k, size in enumerate(sizes):
+        run = F.floor(F.col("leaf_id") / size).cast("int").alias("_run")
+        edges = [f(F.col(f"{side}_edge")[d]).alias(f"_{side}{d}") for d in range(tree.ndim) for side, f in (("left", F.min), ("right", F.max))]
+        boxes = tree.leaves.groupBy(run).agg(*edges)
+        cond = F.lit(True)
+        for d, n in enumerate(names):
+            cond = cond & (F.col(n) >= F.col(f"_left{d}")) & (F.col(n) < F.col(f"_right{d}"))
+        if k:
+            cond = (F.col("_of") == F.floor(F.col("_run") / BOX_FAN).cast("int")) & cond
+        if not k or tree.num_leaves / size <= BROADCAST_BOXES:
+            boxes = F.broadcast(boxes)
+        found = found.join(boxes, cond).select(*positions.columns, *names, F.col("_run").alias("_of"))
+    return found.select(*positions.columns, F.col("_of").alias("leaf_id"))
 
 
 def outside(tree: TreeModel, positions: DataFrame, coords: list[str]) -> DataFrame:

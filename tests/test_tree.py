@@ -105,6 +105,21 @@ def test_locate(spark):
         locate.get(t, [0.5])
 
 
+@pytest.mark.parametrize("sliding", [False, True])
+@pytest.mark.parametrize("broadcast_boxes", [0, locate.BROADCAST_BOXES])
+def test_locate_by_box_in_large_trees(spark, monkeypatch, sliding, broadcast_boxes):
+    monkeypatch.setattr(locate, "BROADCAST_BOXES", broadcast_boxes)
+    r = np.random.RandomState(4)
+    x = np.round(r.rand(9000, 2) ** 3 * 2000)  # clustered, with ties
+    t = build(points(spark, x), periodic=[True, False], leafsize=3, use_sliding_midpoint=sliding, subtree_points=2000)
+    assert t.num_leaves > locate.BOX_FAN**2
+    q = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(np.vstack([x[:2000], r.rand(2000, 2) * 2400 - 200]))] + [(-1, None, 1.0), (-2, float("nan"), 1.0)], "k int, x double, y double")
+    got = locate.locate_by_box(t, q, ["x", "y"])
+    want = locate.locate(t, q, ["x", "y"]).filter("leaf_id IS NOT NULL")
+    assert got.schema == want.schema
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_sizes():
     assert leafsize_for(100, 10, 4) == 26 and leafsize_for(101, 10, 4) == 26
     with pytest.raises(ValueError):
