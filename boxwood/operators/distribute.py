@@ -11,6 +11,7 @@ from boxwood.functions.points import PointSet, bounds
 from boxwood.plans.levels import cut_level, descend
 from boxwood.plans.local import State
 from boxwood.plans.select import global_rank, kth
+from boxwood.plans.stage import local_rows
 
 
 def block_of(rank: Column, n: int, size: int) -> Column:
@@ -111,13 +112,14 @@ def kd_distribute(points: PointSet, size: int, left_edge: list[float] | None = N
             r = split_rank(k)
             after[a.path], after[c.path] = (a, half, first, r), (c, n - half, first + r, k - r)
         todo = after
-    of = F.broadcast(placed.sparkSession.createDataFrame([(s.path, w) for w, _, s in done], "subtree string, worker int"))
+    of = F.broadcast(local_rows(placed.sparkSession, [(s.path, w) for w, _, s in done], "subtree string, worker int"))
     return placed.join(of, "subtree").select(*points.df.columns, "worker"), sorted(done, key=lambda x: x[0])
 
 
 def region_table(spark, regions: list[tuple[int, int, State]]) -> DataFrame:
     """Regions as boxes with planes, so that adjacency works on them too."""
-    return spark.createDataFrame(
+    return local_rows(
+        spark,
         [(w, n, s.path, list(s.left), list(s.right), list(s.periodic_left), list(s.periodic_right), list(s.left_plane), list(s.right_plane)) for w, n, s in regions],
         "leaf_id int, npts long, path string, left_edge array<double>, right_edge array<double>, periodic_left array<boolean>, periodic_right array<boolean>, left_plane array<string>, right_plane array<string>",
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boxwood.functions.boxes import wrap
 from boxwood.plans.model import TreeModel
+from boxwood.plans.stage import local_rows
 
 #: Trees of at most this many nodes are broadcast, as flat arrays of about 21 bytes a node.
 BROADCAST_NODES = 2_000_000
@@ -159,7 +160,7 @@ def get(tree: TreeModel, position: list[float]) -> Row:
     """The leaf of one position; AssertionError on a wrong length, ValueError outside."""
     if len(position) != tree.ndim:
         raise AssertionError(f"position of length {len(position)} in {tree.ndim} dimensions")
-    one = tree.nodes.sparkSession.createDataFrame([tuple(map(float, position))], ", ".join(f"p{d} double" for d in range(tree.ndim)))
+    one = local_rows(tree.nodes.sparkSession, [tuple(map(float, position))], ", ".join(f"p{d} double" for d in range(tree.ndim)))
     leaf = locate(tree, one, one.columns).first()["leaf_id"]
     if leaf is None:
         raise ValueError("the position is outside the domain")

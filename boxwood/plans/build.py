@@ -5,7 +5,8 @@ passes over the points, all its nodes together: the median rule by an exact
 bracketed selection, the sliding midpoint by conditional aggregates. Once a node has at most ``subtree_points``
 points, one grouped pass splits every such subtree to its leaves. Node ids are then
 offsets of subtrees (one small row each on the driver) plus positions inside them,
-so no step ranks all leaves or all points in one task.
+so no step ranks all leaves or all points in one task. A task gets the state of its
+own subtree only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.functions.points import PointSet, bounds
@@ -22,7 +23,7 @@ from boxwood.plans.levels import cut_level, descend
 from boxwood.plans.local import State, finish
 from boxwood.plans.model import TreeModel
 from boxwood.plans.select import global_rank
-from boxwood.plans.stage import stage
+from boxwood.plans.stage import local_rows, stage
 
 SUBTREE_POINTS = 250_000
 #: The nodes that points have reached are written after so many levels.
@@ -35,6 +36,10 @@ def arrow_schema() -> pa.Schema:
     return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in NODE.split(", ")])
 
 
+#: A node's state as a row.
+STATE = "subtree string, " + ", ".join(f for f in NODE.split(", ") if f.split()[0] in ("path", "mins", "maxs", "left_edge", "right_edge", "periodic_left", "periodic_right", "left_plane", "right_plane"))
+
+
 def _fields(s: State) -> dict:
     return {"path": s.path, "mins": list(s.mins), "maxs": list(s.maxs), "left_edge": list(s.left), "right_edge": list(s.right), "periodic_left": list(s.periodic_left), "periodic_right": list(s.periodic_right), "left_plane": list(s.left_plane), "right_plane": list(s.right_plane)}
 
@@ -119,16 +124,17 @@ def _finish(points: PointSet, placed: DataFrame, subtrees: dict[str, tuple[State
     subtree that is already a leaf and too large for a task (equal points) is
     written without gathering it."""
     big = {p for p, (s, n) in subtrees.items() if n > SUBTREE_POINTS and s.is_leaf(n, leafsize)}
-    states = {p: s for p, (s, _) in subtrees.items() if p not in big}
     cols = points.coords
+    spark, schema = placed.sparkSession, arrow_schema()
+    # Beside its points, not in the function: there each process would hold all states.
+    states = local_rows(spark, [(p, *_fields(s).values()) for p, (s, _) in subtrees.items() if p not in big], STATE)
 
-    schema = arrow_schema()
-
-    def run(t: pa.Table) -> pa.Table:
-        path, ids = t.column("subtree")[0].as_py(), t.column("point_id").to_numpy()
+    def run(t: pa.Table, own: pa.Table) -> pa.Table:
+        state = State(*(tuple(v) if isinstance(v, list) else v for v in own.drop_columns("subtree").to_pylist()[0].values()))
+        path, ids = state.path, t.column("point_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         x = np.column_stack([t.column(c).to_numpy() for c in cols])[order]
-        done, ids = finish(x, states[path], leafsize, sliding), ids[order]
+        done, ids = finish(x, state, leafsize, sliding), ids[order]
         where, sizes = np.concatenate(done.rows), [len(r) for r in done.rows]
         members = {"subtree": pa.array([path] * len(where)), "point_id": pa.array(ids[where]), "local_leaf": pa.array(np.repeat(np.arange(len(sizes)), sizes).astype(np.int32)), "local_pos": pa.array(np.arange(len(where), dtype=np.int64))}
         leaf_no, pos, recs = 0, 0, []
@@ -139,11 +145,11 @@ def _finish(points: PointSet, placed: DataFrame, subtrees: dict[str, tuple[State
         return pa.concat_tables([pa.Table.from_pylist(recs, schema), pa.table([members[f.name] if f.name in members else pa.nulls(len(where), f.type) for f in schema], schema)])
 
     grouped = placed.filter(~F.col("subtree").isin(*big)) if big else placed
-    out = grouped.groupBy("subtree").applyInArrow(run, NODE)
+    out = grouped.groupBy("subtree").cogroup(states.groupBy("subtree")).applyInArrow(run, NODE)
     for path in sorted(big):
         s, n = subtrees[path]
         own = placed.filter(F.col("subtree") == path).select("subtree", "point_id")
         ranked = global_rank(own, ["point_id"], "local_pos").select("subtree", "point_id", F.lit(0).alias("local_leaf"), "local_pos")
-        node = placed.sparkSession.createDataFrame([Row(**{k: None for k in schema.names} | {"subtree": path, "local_leaf": 0, "local_pos": 0, "npts": n} | _fields(s))], NODE)
+        node = local_rows(spark, [tuple(({"subtree": path, "local_leaf": 0, "local_pos": 0, "npts": n} | _fields(s)).get(k) for k in schema.names)], NODE)
         out = out.unionByName(node).unionByName(ranked, allowMissingColumns=True)
     return out

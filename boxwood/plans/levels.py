@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from boxwood.plans.local import State
 from boxwood.plans.select import kth_by_group
+from boxwood.plans.stage import local_rows
 
 #: Node, split value, last value and last id of the less side, its size.
 Cut = tuple[float, float, int, int]
@@ -27,7 +28,7 @@ def _along(ndim: int) -> Column:
 
 
 def _told(placed: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(placed.sparkSession.createDataFrame(rows, schema))
+    return F.broadcast(local_rows(placed.sparkSession, rows, schema))
 
 
 def cut_level(placed: DataFrame, ndim: int, nodes: dict[str, tuple[State, int]], sliding: bool = False) -> dict[str, Cut]:

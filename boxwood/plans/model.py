@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwood.plans.local import State
+from boxwood.plans.stage import local_rows
 
 
 @dataclass
@@ -32,7 +33,7 @@ class TreeModel:
             leaf, pos = leaf + counts.get(path, 0), pos + subtrees[path][1]
         if leaf > 2**31 - 1:
             raise OverflowError("more leaves than leaf ids")
-        off = F.broadcast(spark.createDataFrame(offsets, "subtree string, leaf0 int, pos0 long"))
+        off = F.broadcast(local_rows(spark, offsets, "subtree string, leaf0 int, pos0 long"))
         numbered = rows.join(off, "subtree")
         leaf_id, start = (F.col("leaf0") + F.col("local_leaf")).cast("int"), (F.col("pos0") + F.col("local_pos")).cast("long")
         box = ["left_edge", "right_edge", "periodic_left", "periodic_right", "left_plane", "right_plane"]
@@ -42,7 +43,7 @@ class TreeModel:
             first = dict((p, q) for p, _, q in offsets)
             begin = lambda path: min(q for p, q in first.items() if p.startswith(path))
             recs = [(p, len(p), False, d, float(v), n, begin(p), None, None, list(s.mins), list(s.maxs), list(s.left), list(s.right), list(s.periodic_left), list(s.periodic_right), list(s.left_plane), list(s.right_plane)) for p, (s, n, d, v) in top.items()]
-            nodes = nodes.unionByName(spark.createDataFrame(recs, nodes.schema))
+            nodes = nodes.unionByName(local_rows(spark, recs, nodes.schema))
         leaves = nodes.filter("is_leaf").select("leaf_id", "path", "subtree", "npts", "start_idx", (F.col("start_idx") + F.col("npts")).alias("stop_idx"), *box)
         members = numbered.filter(~is_node).select("point_id", leaf_id.alias("leaf_id"), start.alias("idx_pos"))
         return cls(nodes, leaves, members, meta | {"num_leaves": leaf})

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxwood.plans.stage import stage
+from boxwood.plans.stage import local_rows, stage
 
 #: Rows of a group that the last step of a selection may rank at once.
 BRACKET_ROWS = 200_000
@@ -35,7 +35,7 @@ def _within(d: DataFrame, key: str, ranges: dict[str, _Range], kind: str) -> Dat
     """Rows of ``d`` inside the range of their group. The ranges are the driver's
     own, one small row a group."""
     rows = [(g, r.lo, r.hi, r.lo_open, r.hi_open) for g, r in ranges.items()]
-    b = F.broadcast(d.sparkSession.createDataFrame(rows, f"g string, _lo {kind}, _hi {kind}, _lo_open boolean, _hi_open boolean"))
+    b = F.broadcast(local_rows(d.sparkSession, rows, f"g string, _lo {kind}, _hi {kind}, _lo_open boolean, _hi_open boolean"))
     c = F.col(key)
     inside = ((c > F.col("_lo")) | (~F.col("_lo_open") & (c == F.col("_lo")))) & ((c < F.col("_hi")) | (~F.col("_hi_open") & (c == F.col("_hi"))))
     return d.join(b, "g").filter(inside).select("g", "v", "i")
@@ -54,7 +54,7 @@ def _narrow(d: DataFrame, key: str, ranges: dict[str, _Range], kind: str) -> dic
         grid = sorted({q for pair in around.values() for q in pair})
         got = inside.groupBy("g").agg(F.percentile_approx(key, [q / 1000 for q in grid], 20_000).alias("q")).collect()
         cuts = [(x["g"], *(x["q"][grid.index(q)] for q in around[x["g"]])) for x in got]
-        told = F.broadcast(d.sparkSession.createDataFrame(cuts, f"g string, a {kind}, b {kind}"))
+        told = F.broadcast(local_rows(d.sparkSession, cuts, f"g string, a {kind}, b {kind}"))
         c, a, b = F.col(key), F.col("a"), F.col("b")
         parts = (c < a, c == a, (c > a) & (c < b), (c == b) & (b > a))
         counts = inside.join(told, "g").groupBy("g").agg(*[F.count_if(p).alias(f"n{j}") for j, p in enumerate(parts)]).collect()
@@ -93,7 +93,7 @@ def kth_by_group(d: DataFrame, want: dict[str, tuple[int, int]]) -> dict[str, tu
         few = {g: ids.get(g, _Range(r.k, r.n, -(2**63), 2**63 - 1)) for g, r in values.items() if g not in out}
         rest, values = (_within(rest, "i", few, "long"), few) if few else (rest, {})
     if values:
-        ranks = F.broadcast(d.sparkSession.createDataFrame([(g, r.k) for g, r in values.items()], "g string, k long"))
+        ranks = F.broadcast(local_rows(d.sparkSession, [(g, r.k) for g, r in values.items()], "g string, k long"))
         r = F.row_number().over(Window.partitionBy("g").orderBy("v", "i"))
         for x in rest.withColumn("r", r).join(ranks, "g").filter(F.col("r") == F.col("k")).collect():
             out[x["g"]] = (x["v"], x["i"])
@@ -118,6 +118,6 @@ def global_rank(df: DataFrame, order: list[str | Column], name: str = "rank") ->
     for r in counts:
         starts.append((r["_part"], at))
         at += r["count"]
-    offset = F.broadcast(df.sparkSession.createDataFrame(starts or [(0, 0)], "_part int, _start long"))
+    offset = F.broadcast(local_rows(df.sparkSession, starts or [(0, 0)], "_part int, _start long"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*cols))
     return dealt.withColumn("_local", local).join(offset, "_part").withColumn(name, (F.col("_start") + F.col("_local") - 1).cast("long")).drop("_part", "_start", "_local")

@@ -1,10 +1,14 @@
-"""Written stages: results kept in the folder that driver and executors share."""
+"""Written stages: results kept in the folder that driver and executors share; small
+tables of the driver's own."""
 
 from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -15,6 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
+    """The driver's own ``rows`` as a DataFrame. They go as Arrow to the JVM; by
+    ``createDataFrame(rows)`` each executor would start Python processes for them,
+    beside those of the grouped passes."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not rows:
+        return spark.createDataFrame([], kind)
+    arrow = to_arrow_schema(kind)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow), kind)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back. Later uses share the result, lineage
     ends here, and a lost executor costs a read instead of a rebuild."""

@@ -17,7 +17,7 @@ from boxwood.operators.consolidate import consolidate
 from boxwood.plans.build import build
 from boxwood.plans.local import State
 from boxwood.plans.model import TreeModel
-from boxwood.plans.stage import shared_dir
+from boxwood.plans.stage import local_rows, shared_dir
 from boxwood.sources import segments, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,7 +168,7 @@ def _consolidated(spark, sf):
     t = consolidate(tree(spark, sf, "customer"))
     ids = lambda k: t.leaf_idx(k).tolist()
     rows = [(x.leaf_id, x.npts, x.start_idx, x.stop_idx, min(ids(k)), max(ids(k)), sum(ids(k)), ",".join(map(str, t.near[k]))) for k, x in enumerate(t.leaves)]
-    return spark.createDataFrame(rows, "leaf_id int, npts long, start_idx long, stop_idx long, first_id long, last_id long, sum_ids long, neighbors string")
+    return local_rows(spark, rows, "leaf_id int, npts long, start_idx long, stop_idx long, first_id long, last_id long, sum_ids long, neighbors string")
 
 
 #: Positions asked one by one, some outside, one of the wrong length.
@@ -184,7 +184,7 @@ def _get(spark, sf):
             rows.append((k, leaf.leaf_id, leaf.npts, local.get(position) == leaf, None))
         except (ValueError, AssertionError) as e:
             rows.append((k, None, None, None, type(e).__name__))
-    return spark.createDataFrame(rows, "k int, leaf_id int, npts long, same_locally boolean, error string")
+    return local_rows(spark, rows, "k int, leaf_id int, npts long, same_locally boolean, error string")
 
 
 def _nproc(spark, sf):
@@ -204,7 +204,7 @@ def _partial(spark, sf):
 def _equality(spark, sf):
     a, b, c = (build(point_set(spark, sf, "customer"), **how) for how in ({"leafsize": 100}, {"leafsize": 100, "subtree_points": 200}, {"leafsize": 100, "periodic": True}))
     rows = [(name, strict, ",".join(x.differences(y, strict))) for name, x, y in (("other subtrees", a, b), ("other flags", a, c)) for strict in (True, False)]
-    return spark.createDataFrame(rows, "pair string, strict boolean, differences string")
+    return local_rows(spark, rows, "pair string, strict boolean, differences string")
 
 
 def _errors(spark, sf):
@@ -231,7 +231,7 @@ def _errors(spark, sf):
             rows.append((name, None))
         except (ValueError, IndexError, OSError) as e:
             rows.append((name, type(e).__name__))
-    return spark.createDataFrame(rows, "what string, error string")
+    return local_rows(spark, rows, "what string, error string")
 
 
 def _labels(spark, sf):
@@ -241,7 +241,7 @@ def _labels(spark, sf):
 
 def _pivot(spark, sf):
     q, value, point = ordering.pivot(point_set(spark, sf, "customer"), 0)
-    return spark.createDataFrame([(q, value, point)], "q long, value double, point_id long")
+    return local_rows(spark, [(q, value, point)], "q long, value double, point_id long")
 
 
 @lru_cache(1)
@@ -291,7 +291,7 @@ def queries() -> dict[str, Query]:
         "select_by_block": lambda s, d: distribute.select_by_block(_blocks(s, d), 1, 1234),
         "split_by_block": lambda s, d: distribute.split_by_block(_blocks(s, d), 2),
         "redistribute_sides": lambda s, d: distribute.redistribute(ps(s, d, "orders"), 5).select("point_id", "side", "target"),
-        "split_rounds": lambda s, d: s.createDataFrame(distribute.rounds(13), "worker int, n_rounds int, first_round int"),
+        "split_rounds": lambda s, d: local_rows(s, distribute.rounds(13), "worker int, n_rounds int, first_round int"),
         "kd_distribute": lambda s, d: _kd(s, d)[0].select("point_id", "worker"),
         "kd_regions": _kd_regions,
         "subtree_adjacency": _kd_adjacency,
@@ -303,7 +303,7 @@ def queries() -> dict[str, Query]:
         "tree_partial_domain": _partial,
         "tree_equality": _equality,
         "tree_errors": _errors,
-        "tree_repr": lambda s, d: s.createDataFrame([(repr(tree(s, d, "orders")),)], "text string"),
+        "tree_repr": lambda s, d: local_rows(s, [(repr(tree(s, d, "orders")),)], "text string"),
         "leaf_labels": _labels,
         "leaf_segments": lambda s, d: segments.leaf_segments(tree(s, d, "customer").leaves).drop("label"),
     }

@@ -2,11 +2,15 @@
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from boxwood import PointSet, build, make_tree
 from boxwood.operators import adjacency, locate
 from boxwood.plans.build import leafsize_for
+from boxwood.plans.stage import local_rows
 from boxwood.sources import store
 
 LEFT = {False: [[[], [0], [1], [2], [], [], [4, 5], [5]], [[], [], [], [], [0, 1], [4], [1, 2, 3], [6]]], True: [[[3], [0], [1], [2], [6], [6, 7], [4, 5], [5]], [[5], [5, 7], [7], [7], [0, 1], [4], [1, 2, 3], [6]]]}
@@ -53,6 +57,30 @@ def test_top_levels_equal_local(spark, sliding):
     assert a.membership.agg(F.count_distinct("point_id"), F.count_distinct("idx_pos")).first()[:] == (300, 300)
 
 
+def test_tasks_get_no_other_subtrees(spark, monkeypatch):
+    sizes = []
+    for kind in (GroupedData, PandasCogroupedOps):
+
+        def seen(self, func, schema, run=kind.applyInArrow):
+            sizes.append(len(cloudpickle.dumps(func)))
+            return run(self, func, schema)
+
+        monkeypatch.setattr(kind, "applyInArrow", seen)
+    x = np.random.RandomState(6).rand(2000, 2)
+    one, many = (build(points(spark, x), leafsize=10, subtree_points=k) for k in (2000, 20))
+    assert one.differences(many) == []
+    assert sizes[1] < 1.1 * sizes[0]
+
+
+def test_local_rows(spark):
+    schema = "a string, b array<double>, c array<boolean>, d int, e double, f array<string>"
+    rows = [("", [0.1, float("inf")], [True, False], 1, -0.0, [None, "0"]), (None, None, None, None, None, None)]
+    got = local_rows(spark, rows, schema)
+    assert got.collect() == spark.createDataFrame(rows, schema).collect() and got.schema == spark.createDataFrame(rows, schema).schema
+    assert "LocalTableScan" in got._jdf.queryExecution().executedPlan().toString()  # no RDD, which Python processes would read
+    assert local_rows(spark, [], schema).collect() == []
+
+
 def brute_adjacent(leaves, nodes, m):
     """The literal descent: each leaf's less sibling of its deepest split per dim."""
     inner = {n.path: n for n in nodes if not n.is_leaf}
